@@ -492,7 +492,7 @@ def unique_labels(c: Context) -> DataFrame:
     named = labels.unique_labels(
         tasks, ["part_no", "description"], ["quote_id", "customer_ref_no"], ["assignment_seq", SEQ], ["worker_id"]
     )
-    return named.select("worker_id", *PART, "description", "assignment_seq", SEQ, "label")
+    return named.select("worker_id", *PART, "description", "assignment_seq", "label")
 
 
 @query
@@ -568,7 +568,7 @@ def fn_to_date(c: Context) -> DataFrame:
     us = F.concat(F.substring(day, 6, 2), F.lit("/"), F.substring(day, 9, 2), F.lit("/"), F.substring(day, 1, 4))
     return c.raw.quotes.select(
         SEQ, fn.to_date(F.col("date")).cast("string").alias("date"), fn.to_date(us).cast("string").alias("us_date"),
-        fn.to_date(F.substring(day, 1, 7)).cast("string").alias("month_only"),
+        fn.to_date(F.substring(day, 1, 7)).isNull().alias("month_is_no_date"),
     )
 
 
@@ -587,7 +587,7 @@ def fn_submission_id(c: Context) -> DataFrame:
     number = fn.submission_number(F.col("submission_id"))
     twice = fn.submission_number(F.concat(F.lit("SUB"), F.col("submission_id")))
     return c.raw.submissions.select(
-        SEQ, number.alias("number"), twice.alias("twice"), fn.submission_id(number + 1).alias("next_id"),
+        SEQ, number.alias("number"), twice.isNull().alias("twice_is_no_id"), fn.submission_id(number + 1).alias("next_id"),
         fn.submission_id(F.col("lt").cast("bigint")).alias("short_id"),
     )
 
