@@ -57,8 +57,12 @@ def rows_of(base: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:
     return keep_keys(base, keys_of, keys).select(*base.columns)
 
 
-def append_numbered(base: DataFrame, new: DataFrame, place: str) -> DataFrame:
-    """Append rows; ``_seq`` goes on above the largest one in the order of the column ``place`` (>= 0)."""
-    numbered = new.withColumn(SEQ, highest_seq(base) + F.lit(1) + F.col(place))
+def append_numbered(base: DataFrame, new: DataFrame, place: str, stored: DataFrame | None = None) -> DataFrame:
+    """Append rows; ``_seq`` goes on above the largest one in the order of the column ``place`` (>= 0).
+
+    ``stored`` is the table to take that maximum from when ``base`` is a change of it with the same rows.
+    """
+    top = highest_seq(base if stored is None else stored)
+    numbered = new.withColumn(SEQ, top + F.lit(1) + F.col(place))
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in base.schema.fields]
     return base.unionByName(numbered.select(columns))

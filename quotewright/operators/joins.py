@@ -29,24 +29,33 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys, "left")
 
 
-def expand(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join to a right side with any number of rows per key; null keys never match.
+def split_join(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(inner join, left rows without a match) for a right side with any number of rows per key.
 
-    Rows with a null key skip the shuffle, where they would all meet in one task.
+    Rows with a null key never match and skip the shuffle, where they would all meet in one task. Both
+    results start from the same shuffle of the left side, which Spark runs once.
     """
     keyed = left.where(_all_present(keys))
     keyless = left.where(~_all_present(keys))
-    right = right.where(_all_present(keys))
-    matched = keyed.join(right, keys)
-    unmatched = drop_keys(keyed, right, keys).unionByName(keyless)
+    matched = keyed.join(right.where(_all_present(keys)), keys)
+    return matched, drop_keys(keyed, right, keys).unionByName(keyless)
+
+
+def expand(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join to a right side with any number of rows per key."""
+    matched, unmatched = split_join(left, right, keys)
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
+def _distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*keys).where(_all_present(keys)).distinct()
+
+
 def keep_keys(df: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key occurs in ``keys_of``."""
-    return df.join(keys_of.select(*keys).distinct(), keys, "left_semi")
+    """Rows whose key occurs in ``keys_of``; a null key never occurs."""
+    return df.join(_distinct_keys(keys_of, keys), keys, "left_semi")
 
 
 def drop_keys(df: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key does not occur in ``keys_of``; a null key never occurs."""
-    return df.join(keys_of.select(*keys).where(_all_present(keys)).distinct(), keys, "left_anti")
+    return df.join(_distinct_keys(keys_of, keys), keys, "left_anti")

@@ -252,7 +252,7 @@ def upsert_offers(submissions: DataFrame, values: DataFrame) -> DataFrame:
     known = kept.unionByName(fresh.where(F.col("_known")))
     setters = {c: (lambda new, c=c: new(c)) for c in columns}
     updated = update_rows(submissions, known.select(*OFFER, *columns), OFFER, setters)
-    return append_numbered(updated, fresh.where(F.col("_known").isNull()), "_pos")
+    return append_numbered(updated, fresh.where(F.col("_known").isNull()), "_pos", submissions)
 
 
 def submit_offers(tables: Tables, requests: DataFrame, as_of: str | Column | None = None) -> Tables:
@@ -289,7 +289,7 @@ def mark_no_quote(submissions: DataFrame, requests: DataFrame, as_of: str | Colu
     key = [*keys, "supplier"]
     updated = update_rows(submissions, rows.select(*key, *columns), key, setters)
     new_rows = drop_keys(rows, submissions.where(F.col("supplier") == ""), key)
-    return append_numbered(updated, new_rows, "_place")
+    return append_numbered(updated, new_rows, "_place", submissions)
 
 
 def resubmit(submissions: DataFrame, requests: DataFrame, as_of: str | Column | None = None) -> DataFrame:

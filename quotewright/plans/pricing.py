@@ -10,7 +10,7 @@ from ..functions import (
     money_text, to_number,
 )
 from ..operators.filters import non_deleted, selected, supplier_offers
-from ..operators.joins import drop_keys, expand, keep_keys, lookup
+from ..operators.joins import drop_keys, expand, keep_keys, lookup, split_join
 from ..operators.latest import first_status, last_per
 from ..operators.metrics import answered_parts
 from ..schemas import BLANK_EDIT_MARGIN, COMPLETED, DEFAULT_MARGIN, SEQ
@@ -70,7 +70,8 @@ def margin_grid(
 
     A part without an offer keeps a row, a ref without any offer has none. Margins join the offers
     first, where every row has a submission id; on the finished grid the parts without an offer would
-    all share the null key. Parts meet offers in ``expand``: a part with very many offers is split.
+    all share the null key. Parts with and without offers go separate ways: a part with very many offers
+    can be split in the inner join, and only the parts without one have to look at the rest of their ref.
     """
     lines = priced_lines(quotes).select(
         *PART, "customer_ref_no", "description", "qty", "due_date"
@@ -83,9 +84,10 @@ def margin_grid(
         F.col(SEQ).alias("offer_seq"),
     )
     offers = lookup(offers, saved_margins(final_quotes), ["submission_id"])
+    with_offer, without = split_join(lines, offers, PART)
     offered = keep_keys(lines.select("customer_ref_no", *PART), offers, PART)
-    lines = keep_keys(lines, offered, ["customer_ref_no"])
-    grid = expand(lines, offers, PART)
+    without = keep_keys(without, offered, ["customer_ref_no"])
+    grid = with_offer.unionByName(without, allowMissingColumns=True)
     return priced(
         grid.withColumn("select", F.lit(True)).withColumnRenamed("due_date", "customer_due_date"),
         number_type, default_margin,

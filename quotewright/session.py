@@ -7,13 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings the plans rely on. All but the first are Spark's own defaults, pinned because skewed keys
-# are left to them: a hot join key is split at run time, small sides turn into broadcasts by measured size.
+# Settings the plans rely on: a hot join key is split at run time, small sides turn into broadcasts by
+# measured size. The last one lets a join skip its sorts where every partition of a side is this small.
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }
 
 _local_dir: tempfile.TemporaryDirectory | None = None

@@ -165,10 +165,11 @@ def export_view(
     by several tasks.
     """
     rows = Observation()
-    writer_df = df.observe(rows, F.count(F.lit(1)).alias("rows"))
     if by:
-        writer_df = writer_df.repartitionByRange(by, *(within or []))
-    writer = writer_df.write.options(header=True, quoteAll=True, escape='"') if fmt == "csv" else writer_df.write
+        df = df.repartitionByRange(by, *(within or []))
+    # counted after the shuffle: placing rows by range reads them once more to take samples
+    counted = df.observe(rows, F.count(F.lit(1)).alias("rows"))
+    writer = counted.write.options(header=True, quoteAll=True, escape='"') if fmt == "csv" else counted.write
     if by:
         writer = writer.partitionBy(by)
     writer.format(fmt).save(path)
