@@ -20,7 +20,7 @@ from .schemas import (
     ASSIGNMENTS, ASSIGNMENTS_HEADINGS, FINAL_QUOTES, OFFER_REQUESTS, QUOTES,
     QUOTES_HEADINGS, SEQ, UPLOAD, UPLOAD_HEADINGS, rename_map,
 )
-from .session import scratch_path
+from .session import scratch_path, tune
 from .sources import tables as src
 from .sources.testdata import LazyTables, raw_table
 from .streaming import intake
@@ -51,7 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(Context(spark, sf_dir))
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Context(tune(spark), sf_dir))
     return f
 
 

@@ -1,13 +1,20 @@
-"""The three join shapes of the library and how each stands up to a hot key.
+"""The join shapes of the library and how each stands up to a hot key.
 
 ``lookup``   the right side has one row per key, so a hot key only swells the left side, which
              Spark's skew join splits at run time.
+``pair``     both sides have one row per key: nothing to split, and no shuffle beyond that of the
+             aggregates they come from.
 ``expand``   the right side may have many rows per key. An outer join could not split a hot right
              side, so matches go through an inner join (either side splits) and the rest through an
              anti join on distinct keys.
 ``keep_keys`` / ``drop_keys``
-             semi / anti join on distinct keys: the distinct runs before the shuffle as well, so a
-             hot key arrives at most once per task, and its shuffle is the one the join needs anyway.
+             semi / anti join on distinct keys; the distinct runs inside each task first, so a hot key
+             arrives at most once per task.
+
+Spark only splits a join whose two inputs come straight from a shuffle. A right side that was just
+aggregated by the join keys would be joined where it lies, without one, and a hot left key would stay in
+one task. ``fresh_keys`` makes Spark shuffle such a side again: one row per key moves once more, so that
+the side with all the rows can be split.
 
 No side is broadcast by hint; Spark does it where the measured size allows.
 """
@@ -24,8 +31,18 @@ def _all_present(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
+def fresh_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The same rows, with keys that Spark no longer takes to be partitioned."""
+    return df.withColumns({k: F.greatest(F.col(k), F.col(k)) for k in keys})
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join to a right side that is unique by ``keys``."""
+    return left.join(fresh_keys(right, keys), keys, "left")
+
+
+def pair(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of two sides that are both unique by ``keys``."""
     return left.join(right, keys, "left")
 
 
@@ -35,9 +52,9 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[Data
     Rows with a null key never match and skip the shuffle, where they would all meet in one task. Both
     results start from the same shuffle of the left side, which Spark runs once.
     """
-    keyed = left.where(_all_present(keys))
+    keyed = fresh_keys(left.where(_all_present(keys)), keys)
     keyless = left.where(~_all_present(keys))
-    matched = keyed.join(right.where(_all_present(keys)), keys)
+    matched = keyed.join(fresh_keys(right.where(_all_present(keys)), keys), keys)
     return matched, drop_keys(keyed, right, keys).unionByName(keyless)
 
 
@@ -48,7 +65,7 @@ def expand(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(*keys).where(_all_present(keys)).distinct()
+    return fresh_keys(df.select(*keys).where(_all_present(keys)).distinct(), keys)
 
 
 def keep_keys(df: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:

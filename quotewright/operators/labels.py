@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean_text, label
 from ..session import materialize
-from .joins import lookup
+from .joins import fresh_keys
 from .numbering import with_group_position
 
 
@@ -67,7 +67,7 @@ def unique_labels(
 
 def _attach(rows: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
     """Inner lookup that also matches null scope values."""
-    other = per_group.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    other = fresh_keys(per_group, keys).withColumnsRenamed({k: f"_r_{k}" for k in keys})
     same: Column = reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
     )

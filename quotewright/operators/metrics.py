@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import to_number
 from ..schemas import COMPLETED, DELETED, UPLOADED
 from .filters import supplier_offers
-from .joins import lookup
+from .joins import pair
 
 
 def pending_quotes(quotes: DataFrame, number_type: str = "double") -> DataFrame:
@@ -40,15 +40,15 @@ def quote_progress(quotes: DataFrame, submissions: DataFrame) -> DataFrame:
     """Requested and answered parts per quote, counting no-quotes (``answered``) and not
     (``answered_by_supplier``)."""
     by_supplier = answered_parts(submissions, False).withColumnRenamed("answered", "answered_by_supplier")
-    joined = lookup(
-        lookup(requested_parts(quotes), answered_parts(submissions), ["quote_id"]), by_supplier, ["quote_id"]
+    joined = pair(
+        pair(requested_parts(quotes), answered_parts(submissions), ["quote_id"]), by_supplier, ["quote_id"]
     )
     return joined.fillna(0, ["answered", "answered_by_supplier"])
 
 
 def fully_submitted(quotes: DataFrame, submissions: DataFrame) -> DataFrame:
     """Quotes with every requested part answered and no deleted or completed line."""
-    joined = lookup(requested_parts(quotes), answered_parts(submissions), ["quote_id"])
+    joined = pair(requested_parts(quotes), answered_parts(submissions), ["quote_id"])
     complete = (F.col("requested") > 0) & (F.col("answered") >= F.col("requested")) & ~F.col("closed")
     return joined.where(complete).select("quote_id", "requested", "answered")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import submission_id, submission_number, to_number
 from ..schemas import SEQ
 from ..session import materialize
+from .joins import fresh_keys
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above, the row below this bit
 
@@ -40,11 +41,9 @@ def with_position(df: DataFrame, order: list[str], name: str = "_pos") -> DataFr
 def with_group_position(df: DataFrame, keys: list[str], order: list[str], name: str = "_pos") -> DataFrame:
     """0-based place of each row within its key group; a group may span any number of tasks."""
     placed = with_position(df, [*keys, *order], "_global")
-    first = placed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-        F.min("_global").alias("_first")
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    joined = placed.join(first, same)
+    first = placed.groupBy(*keys).agg(F.min("_global").alias("_first"))
+    first = fresh_keys(first, keys).withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    joined = placed.join(first, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return joined.withColumn(name, F.col("_global") - F.col("_first")).select(*df.columns, name)
 
 

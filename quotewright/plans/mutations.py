@@ -19,7 +19,7 @@ from ..operators.changes import (
     append_numbered, delete_rows, set_status, update_rows,
 )
 from ..operators.filters import require_not_blank, require_not_null, reviewable, valid_offer, workers
-from ..operators.joins import drop_keys, keep_keys, lookup
+from ..operators.joins import drop_keys, keep_keys, pair
 from ..operators.latest import first_per, first_status, last_per
 from ..operators.metrics import fully_submitted, pending_quotes
 from ..operators.numbering import highest_seq, highest_submission_number, with_position
@@ -241,7 +241,7 @@ def upsert_offers(submissions: DataFrame, values: DataFrame) -> DataFrame:
     on_file = keep_keys(
         submissions.where(F.col("supplier") != ""), values, OFFER
     ).groupBy(*OFFER).agg(F.min_by("submission_id", SEQ).alias("_old_id"))
-    resolved = lookup(last, on_file.withColumn("_known", F.lit(True)), OFFER)
+    resolved = pair(last, on_file.withColumn("_known", F.lit(True)), OFFER)
     kept_id = blank_to_null(F.col("_old_id"))
     # numbers go to the keys without an id, in one order
     fresh = with_position(resolved.where(kept_id.isNull()), ["_first"], "_pos")

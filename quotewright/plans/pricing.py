@@ -10,7 +10,7 @@ from ..functions import (
     money_text, to_number,
 )
 from ..operators.filters import non_deleted, selected, supplier_offers
-from ..operators.joins import drop_keys, expand, keep_keys, lookup, split_join
+from ..operators.joins import drop_keys, expand, keep_keys, lookup, pair, split_join
 from ..operators.latest import first_status, last_per
 from ..operators.metrics import answered_parts
 from ..schemas import BLANK_EDIT_MARGIN, COMPLETED, DEFAULT_MARGIN, SEQ
@@ -45,8 +45,8 @@ def margin_progress(quotes: DataFrame, submissions: DataFrame) -> DataFrame:
     requested = lines.groupBy("customer_ref_no", "quote_id").agg(F.count_distinct("part_no").alias("requested"))
     requested = requested.withColumnRenamed("quote_id", "first_quote_id")
     answered = answered_parts(submissions, include_no_quote=False).withColumnRenamed("quote_id", "first_quote_id")
-    joined = lookup(refs, requested, ["customer_ref_no", "first_quote_id"])
-    joined = lookup(joined, answered, ["first_quote_id"]).fillna(0, ["requested", "answered"])
+    joined = pair(refs, requested, ["customer_ref_no", "first_quote_id"])
+    joined = pair(joined, answered, ["first_quote_id"]).fillna(0, ["requested", "answered"])
     return joined.select(
         "customer_ref_no", "first_quote_id", "first_status", "requested", "answered",
         (F.col("first_status") == COMPLETED).alias("locked"),

@@ -7,13 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings the plans rely on: a hot join key is split at run time, small sides turn into broadcasts by
-# measured size. The last one lets a join skip its sorts where every partition of a side is this small.
+# Settings the plans rely on: a hot join key is split at run time, also where that costs one more shuffle
+# further on; small sides turn into broadcasts by measured size. The last one lets a join skip its sorts
+# where every partition of a side is this small.
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }
 
@@ -35,6 +37,13 @@ def local_session(cores: str = "*", app: str = "quotewright", **conf: str) -> Sp
     return spark
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a running session; all of them can be changed at run time."""
+    for key, value in RECOMMENDED_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
@@ -52,8 +61,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/quotewright/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder, below one folder per application."""
+    run = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/quotewright-{run}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
