@@ -45,12 +45,14 @@ def unique_labels(
 
     takers = _takers(later, tiers[:1], None, group)
     if len(tiers) > 1:
-        while True:
+        # only labels asked for before the last tier decide who goes on to a later tier
+        deciding = [later.select(*group, F.col(t).alias("_value")) for t in tiers[:-1]]
+        deciding = reduce(DataFrame.unionByName, deciding).distinct()
+        settled = False
+        while not settled:
             again = materialize(_takers(later, tiers, takers, group), "takers")
-            settled = again.subtract(takers).isEmpty()
+            settled = _only(again, deciding, [*group, "_value"]).subtract(takers).isEmpty()
             takers = again
-            if settled:
-                break
 
     taken_by = _with_takers(rows, tiers, takers, group)
     choice = F.when(F.col("_place") == F.col("_first"), F.col("_base"))
@@ -74,6 +76,12 @@ def _attach(rows: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(other, same, "left").drop(*[f"_r_{k}" for k in keys])
 
 
+def _only(rows: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key occurs in ``keys_of``, null scope values included."""
+    other = keys_of.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    return rows.join(other, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], "left_semi")
+
+
 def _with_takers(rows: DataFrame, tiers: list[str], takers: DataFrame, group: list[str]) -> DataFrame:
     """For each tier the place of the row that takes its label."""
     for tier in tiers:

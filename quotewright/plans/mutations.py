@@ -242,17 +242,18 @@ def upsert_offers(submissions: DataFrame, values: DataFrame) -> DataFrame:
         submissions.where(F.col("supplier") != ""), values, OFFER
     ).groupBy(*OFFER).agg(F.min_by("submission_id", SEQ).alias("_old_id"))
     resolved = pair(last, on_file.withColumn("_known", F.lit(True)), OFFER)
-    kept_id = blank_to_null(F.col("_old_id"))
-    # numbers go to the keys without an id, in one order
-    fresh = with_position(resolved.where(kept_id.isNull()), ["_first"], "_pos")
+    resolved = resolved.withColumn("_kept_id", blank_to_null(F.col("_old_id")))
+    # keys without an id come first, so their places are the numbers to give out
+    placed = with_position(
+        resolved.withColumn("_has_id", F.col("_kept_id").isNotNull()), ["_has_id", "_first"], "_pos"
+    )
     number = highest_submission_number(submissions) + F.lit(1) + F.col("_pos")
-    fresh = fresh.withColumn("submission_id", submission_id(number))
-    kept = resolved.where(kept_id.isNotNull()).withColumns({"submission_id": kept_id, "_pos": F.lit(None).cast("bigint")})
+    rows = placed.withColumn("submission_id", F.coalesce("_kept_id", submission_id(number)))
+    known, fresh = rows.where(F.col("_known")), rows.where(F.col("_known").isNull())
     columns = [c for c in submissions.columns if c not in (*OFFER, SEQ)]
-    known = kept.unionByName(fresh.where(F.col("_known")))
     setters = {c: (lambda new, c=c: new(c)) for c in columns}
     updated = update_rows(submissions, known.select(*OFFER, *columns), OFFER, setters)
-    return append_numbered(updated, fresh.where(F.col("_known").isNull()), "_pos", submissions)
+    return append_numbered(updated, fresh, "_pos", submissions)
 
 
 def submit_offers(tables: Tables, requests: DataFrame, as_of: str | Column | None = None) -> Tables:
