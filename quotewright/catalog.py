@@ -55,10 +55,6 @@ def query(f: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
     return f
 
 
-def _double(*cols: str) -> list[Column]:
-    return [F.round(F.col(c), 4).cast("double").alias(c) for c in cols]
-
-
 def _plain(df: DataFrame, *money: str) -> DataFrame:
     """Money columns as doubles rounded to four places, all else as it is."""
     return df.withColumns({c: F.round(F.col(c), 4).cast("double") for c in money})
@@ -847,5 +843,3 @@ def stream_ingest_quotes(c: Context) -> DataFrame:
     intake.stream_quotes(c.spark, landing, log, c.path("quote-progress")).awaitTermination()
     current = intake.current_quotes(c.t.quotes, log, AS_OF, NUM)
     return _plain(current.withColumn("qty", fn.to_number(F.col("qty"), NUM)), "qty")
-
-

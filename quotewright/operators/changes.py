@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SEQ
-from .joins import drop_keys, keep_keys, lookup
+from .joins import drop_keys, lookup
 from .numbering import highest_seq
 
 Setter = Callable[[Callable[[str], Column]], Column]
@@ -53,10 +53,6 @@ def delete_rows(base: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFra
     return drop_keys(base, keys_of, keys).select(*base.columns)
 
 
-def rows_of(base: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:
-    return keep_keys(base, keys_of, keys).select(*base.columns)
-
-
 def append_numbered(base: DataFrame, new: DataFrame, place: str, stored: DataFrame | None = None) -> DataFrame:
     """Append rows; ``_seq`` goes on above the largest one in the order of the column ``place`` (>= 0).
 

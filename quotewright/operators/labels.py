@@ -68,7 +68,7 @@ def unique_labels(
 
 
 def _attach(rows: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner lookup that also matches null scope values."""
+    """Lookup that also matches null scope values."""
     other = fresh_keys(per_group, keys).withColumnsRenamed({k: f"_r_{k}" for k in keys})
     same: Column = reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean_text, to_number
 from ..operators.clean import ensure_columns
-from ..operators.filters import filter_in, filter_text, no_quotes, non_deleted, reviewable, split_by_status
+from ..operators.filters import filter_in, filter_text, no_quotes, reviewable, split_by_status
 from ..operators.joins import lookup
 from ..operators.latest import last_assignment
 from ..schemas import ASSIGNED, NO_QUOTE_LABEL
@@ -82,7 +82,3 @@ def no_quote_report(submissions: DataFrame, quotes: DataFrame, users: DataFrame)
         F.col("worker_name").alias("worker"), F.col("no_quote_remark").alias("remark"),
         F.col("submitted_date").alias("date"), F.lit(NO_QUOTE_LABEL).alias("status"),
     )
-
-
-def open_quotes(quotes: DataFrame) -> DataFrame:
-    return non_deleted(quotes)

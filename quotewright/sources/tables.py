@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import date_text, null_if_token, strip, to_date
+from ..functions import date_text, null_if_token, to_date
 from ..operators.numbering import with_position
 from ..schemas import SEQ, column_name
 from ..session import materialize
@@ -174,7 +174,3 @@ def export_view(
         writer = writer.partitionBy(by)
     writer.format(fmt).save(path)
     return rows.get["rows"]
-
-
-def trimmed_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.withColumns({c: strip(df[c]) for c in cols})
