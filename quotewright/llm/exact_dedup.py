@@ -22,24 +22,35 @@ LEAD = 32
 SLOTS_PER_TASK = 4
 
 
-def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), largest: bool = True,
-) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256`` and the columns in ``carry``.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical, without any normalisation; a null text counts as empty. Of equal texts the
     row with the largest id stays (the smallest with ``largest=False``). A null id stays only where all ids of
     the group are null. Of repeated rows with the same id exactly one is kept. An empty table gives an empty
-    result. Other columns of ``docs``, whatever their names, are ignored unless listed in ``carry``, which
-    must not name a result column.
+    result. Other columns of ``docs``, whatever their names, are ignored.
     """
+    return _compared(docs, id_col, text_col, largest, with_rows=False).select(
+        F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
+        F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
+    """The rows that ``exact_dedup`` keeps, with all columns of ``docs``; the rows travel with their text, once."""
+    kept = _compared(docs, id_col, text_col, largest, with_rows=True).where("_kept")
+    text = F.when(~F.col("_null"), F.col("_text"))
+    return kept.select(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
+def _compared(docs: DataFrame, id_col: str, text_col: str, largest: bool, with_rows: bool) -> DataFrame:
+    """Every row with the row that stays for it; ``with_rows`` keeps the text and other columns where needed."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # by position: two columns may carry one name in files of other writers
+    others = [c for c in docs.columns if c != text_col] if with_rows else []
     rows = docs.select(
-        F.col(id_col).alias("_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
-        F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("_none")]).alias("_carry"),
+        F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
+        F.col(text_col).isNull().alias("_null"),
+        F.struct(*[F.col(c) for c in others], F.lit(0).cast("byte").alias("_none")).alias("_row"),
     ).withColumn("_sha", F.sha2("_text", 256))
     slot_rows = max(32, docs.count() // (SLOTS_PER_TASK * parts))
     hot = (
@@ -59,11 +70,13 @@ def exact_dedup(
     neighbours = Window.partitionBy(*place).orderBy("_text", by_id)
     so_far = neighbours.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = Window.partitionBy(*place, "_run")
-    heads_text = F.when(F.col("_head") & F.col("_slots").isNotNull(), F.col("_text"))
+    # a text goes on only where it is compared again or, in the end, kept
+    needed = F.col("_head") & (F.lit(with_rows) | F.col("_hot"))
     runs = (
-        dealt.withColumn("_head", ~F.coalesce(F.lag("_text").over(neighbours) == F.col("_text"), F.lit(False)))
+        dealt.withColumn("_hot", F.col("_slots").isNotNull())
+        .withColumn("_head", ~F.coalesce(F.lag("_text").over(neighbours) == F.col("_text"), F.lit(False)))
         .withColumn("_run", F.sum(F.col("_head").cast("int")).over(so_far))
-        .withColumn("_text", heads_text)
+        .withColumn("_text", F.when(needed, F.col("_text")))
         .withColumn("_best", best("_id").over(run))
         .withColumn("_n", F.count(F.lit(1)).over(run))
         .drop("_slots")
@@ -74,7 +87,7 @@ def exact_dedup(
     across = Window.partitionBy("_sha").orderBy("_text")
     equal = Window.partitionBy("_sha", "_group")
     merged = (
-        runs.where(F.col("_text").isNotNull())
+        runs.where(F.col("_hot") & F.col("_head"))
         .withColumn("_new", ~F.coalesce(F.lag("_text").over(across) == F.col("_text"), F.lit(False)))
         .withColumn("_group", F.sum(F.col("_new").cast("int")).over(across.rowsBetween(Window.unboundedPreceding, 0)))
         .select(
@@ -82,13 +95,7 @@ def exact_dedup(
             best("_best").over(equal).alias("_all_best"), F.sum("_n").over(equal).alias("_all_n"),
         )
     )
-    whole = runs.drop("_text").join(F.broadcast(merged), ["_sha", "_slot", "_run"], "left")
+    whole = runs.join(F.broadcast(merged), ["_sha", "_slot", "_run"], "left")
     keep = F.when(F.col("_all_n").isNull(), F.col("_best")).otherwise(F.col("_all_best"))
-    return whole.select(
-        F.col("_id").alias("doc_id"),
-        keep.alias("keep_id"),
-        F.coalesce("_all_n", "_n").alias("group_size"),
-        (F.col("_head") & F.col("_id").eqNullSafe(keep)).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
-        *[F.col("_carry")[c].alias(c) for c in carry],
-    )
+    return whole.withColumns({
+        "_keep": keep, "_size": F.coalesce("_all_n", "_n"), "_kept": F.col("_head") & F.col("_id").eqNullSafe(keep)})

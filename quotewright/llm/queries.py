@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secrets, url_filter, wavelet
+from . import bpe, langid, multi_index, order_minhash, packing, quality, secrets, url_filter, wavelet
 from .common import prepare, table
 from .exact_dedup import exact_dedup
 
@@ -73,3 +73,30 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex",
         F.sha2("base_list", 256).alias("base_sha256"), F.col("span_list").alias("spans"))
+
+
+@query
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    network = quality.learn(docs, labels, fold_out=0, folds=5)
+    scored = quality.score_quality(docs, network, threshold=0.3)
+    held_out = F.coalesce(quality.fold_of(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn(docs, fold_out=1, folds=3))
+    held_out = F.coalesce(quality.fold_of(F.col("doc_id"), 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -65,12 +65,15 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), one), ",")
 
 
-def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
     """``doc_id, _hash, base, weak``: the spans of each text, as arrays of ``struct(start, rank, end)``.
 
+    ``with_row`` adds the input row as ``_row``.
+
     ``rank`` is the place of the kind in ``KINDS``, from 1. Starts and ends are code points, the end exclusive.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    whole = [F.struct(*[F.col(c) for c in docs.columns]).alias("_row")] if with_row else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *whole)
     rows = rows.select("*", *[
         F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)).alias(f"_{kind}") for kind, pattern, _, _ in KINDS])
     found = {kind: _spans(F.col(f"_{kind}"), rank, kind, pattern)
@@ -80,9 +83,15 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id", F.xxhash64("_text").alias("_hash"),
         F.concat(*[found[kind] for kind in BASE]).alias("base"),
         F.concat(*[found[kind] for kind in weak]).alias("weak"),
+        *[F.col("_row")] * with_row,
     )
 
 
+def _several() -> Column:
+    """A text with a weak candidate and something beside it."""
+    return (F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)
+
+
 def link_parts(parts: DataFrame) -> DataFrame:
     """``doc_id, _hash, linked``: the weak spans that are reported, for texts that have any.
 
@@ -91,10 +100,9 @@ def link_parts(parts: DataFrame) -> DataFrame:
     """
     role = F.array(*[F.lit(role) for _, _, role, _ in KINDS])
     weak = F.array(*[F.lit(is_weak) for *_, is_weak in KINDS])
-    # only texts with a weak candidate and something beside it; a repeated row links like the first
-    several = (F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)
+    # a repeated row links like the first
     spans = (
-        parts.where(several).select("doc_id", "_hash", F.concat("base", "weak").alias("_all")).distinct()
+        parts.where(_several()).select("doc_id", "_hash", F.concat("base", "weak").alias("_all")).distinct()
         .select("doc_id", "_hash", F.explode("_all").alias("s"))
         .select("doc_id", "_hash", "s", F.element_at(role, F.col("s.rank")).alias("role"),
                 F.element_at(weak, F.col("s.rank")).alias("is_weak"),
@@ -134,6 +142,16 @@ def link_parts(parts: DataFrame) -> DataFrame:
     return reported.groupBy(*key).agg(F.collect_set("s").alias("linked"))
 
 
+def _with_links(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Parts with the array ``linked``; only texts that may have links are joined."""
+    found = links.withColumnsRenamed({"doc_id": "l_id", "_hash": "l_hash"})
+    same = F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("_hash") == F.col("l_hash"))
+    none = F.array().cast(_SPAN)
+    joined = parts.where(_several()).join(found, same, "left").select(
+        *parts.columns, F.coalesce("linked", none).alias("linked"))
+    return joined.unionByName(parts.where(~_several()).withColumn("linked", none))
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_assign, n_access, n_hex, base, linked, base_list, span_list``.
 
@@ -142,13 +160,40 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result each; null ids are kept; an empty table gives an empty result; other columns are ignored.
     """
     parts = materialize(find_parts(docs, id_col, text_col), "secret-parts")
-    linked = link_parts(parts).withColumnsRenamed({"doc_id": "l_id", "_hash": "l_hash"})
-    rows = parts.join(linked, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("_hash") == F.col("l_hash")), "left")
-    linked_or_none = F.coalesce(F.col("linked"), F.array().cast(_SPAN))
+    rows = _with_links(parts, link_parts(parts))
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     return rows.select(
         "doc_id", *[count(BASE.index(kind) + 1).alias(f"n_{kind}") for kind in BASE],
-        "base", linked_or_none.alias("linked"),
+        "base", "linked",
         _listed(F.col("base")).alias("base_list"),
-        _listed(F.concat(F.col("base"), linked_or_none)).alias("span_list"),
+        _listed(F.concat("base", "linked")).alias("span_list"),
     )
+
+
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each span, or run of overlapping spans, replaced."""
+    def step(state: Column, span: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
+        fresh = span["start"] >= state["at"]
+        return F.struct(
+            F.greatest(state["at"], span["end"]).alias("at"),
+            F.when(fresh, F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(F.array_sort(spans), start, step, rest))
+
+
+def mask_secrets(docs: DataFrame, mask: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every reported span of the text replaced by ``mask``; all rows, all columns.
+
+    A column ``n_chars`` follows the new length of a text that was changed. Rows as in ``find_secrets``.
+    """
+    parts = materialize(find_parts(docs, id_col, text_col, with_row=True), "secret-parts")
+    rows = _with_links(parts, link_parts(parts.drop("_row"))).withColumn("_spans", F.concat("base", "linked"))
+    text = F.col("_row")[text_col]
+    rows = rows.withColumn("_masked", _masked(text, F.col("_spans"), mask))
+    size = F.when(F.size("_spans") == 0, F.col("_row")["n_chars"]).otherwise(F.length("_masked").cast(
+        docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None
+    changed = {text_col: F.col("_masked"), "n_chars": size}
+    return rows.select(*[(changed[c] if changed.get(c) is not None else F.col("_row")[c]).alias(c) for c in docs.columns])
