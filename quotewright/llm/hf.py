@@ -9,7 +9,11 @@ import os
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-from .parts import PartEncoder, as_bytes
+from .parts import PartEncoder, as_bytes, plain
+
+# the characters that byte-level vocabularies write for bytes without a printable one of their own
+_HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_VISIBLE = {byte: 0x100 + place for place, byte in enumerate(_HIDDEN)}
 
 _loaded: dict[bytes, FileTokenizer] = {}
 
@@ -39,10 +43,12 @@ class FileTokenizer:
         out: list[bytes] = [b""] * len(parts)
         others = []
         for place, part in enumerate(parts):
-            # a space and ASCII letters are one match of the split pattern: straight to the merges
-            if self.space is not None and part[:1] == " " and part.isascii() and part[1:].isalpha():
-                word = self.space + (part[1:].lower() if self.lower else part[1:])
-                out[place] = as_bytes([token.id for token in self.model.tokenize(word)])
+            # a space and letters are one match of the split pattern: straight to the merges
+            if self.space is not None and part[:1] == " " and part[1:].isalpha() and plain(part):
+                word = part[1:].lower() if self.lower else part[1:]
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_VISIBLE)
+                out[place] = as_bytes([token.id for token in self.model.tokenize(self.space + word)])
             else:
                 others.append(place)
         found = self.tokenizer.encode_batch_fast([parts[place] for place in others], add_special_tokens=False)
