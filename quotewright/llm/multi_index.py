@@ -103,7 +103,7 @@ def fit(sample: np.ndarray, rows: int) -> MultiIndex:
     if not len(found):
         return MultiIndex(halves, min(most, 16))
     needed = found[min(len(found) - 1, math.ceil(TARGET_RECALL * len(found)) - 1)] + 1
-    return MultiIndex(halves, int(min(most, max(2, needed))))
+    return MultiIndex(halves, int(min(most, max(4, needed))))
 
 
 def _usable(vector: Column) -> Column:
