@@ -189,7 +189,7 @@ def _round_candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose alignment reaches the threshold: both texts of a pair meet in one task, next to each other."""
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id")).hint("merge")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = (
         sides.join(texts, "doc_id").select("a", "b", "doc_id", "text")
@@ -235,6 +235,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = sketched.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     texts = materialize(first.where(F.col("n") > 0), "texts")
     left = materialize(_buckets(texts), "shared-sketches")
+    # whole texts are shuffled once, for those in company, by the same plan at every size
+    company = fresh_keys(left.select("doc_id").distinct(), ["doc_id"]).hint("merge")
+    rows = materialize(rows.join(company, "doc_id", "left_semi"), "texts-in-company")
     links = None
     for _ in range(ROUNDS):
         pairs, large = _round_candidates(left)
