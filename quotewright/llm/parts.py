@@ -16,7 +16,7 @@ from array import array
 from collections.abc import Callable, Iterable
 
 #: Words, and pieces of words, a worker remembers at most beyond one batch, and the longest (characters).
-MOST, CHARS = 500_000, 40
+MOST, CHARS = 900_000, 40
 
 _RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
