@@ -33,7 +33,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each class of near-duplicates; rows without an id stay."""
     found = order_minhash.near_duplicates(docs)
     dropped = materialize(found.where(~F.col("kept")).select("doc_id"), "near-copies")
-    return docs.join(fresh_keys(dropped, ["doc_id"]), "doc_id", "left_anti").select(*docs.columns)
+    # by merge: the plan on a small corpus is that on a large one
+    return docs.join(fresh_keys(dropped, ["doc_id"]).hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
