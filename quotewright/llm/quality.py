@@ -83,15 +83,19 @@ class Network:
         strongest = np.maximum.reduceat(logits, starts)
         mean = np.add.reduceat(logits, starts) / np.bincount(owner)
         total = self.combine[0] * strongest + self.combine[1] * mean + self.combine[2]
-        return 1 / (1 + np.exp(np.clip(total.astype(np.float64), -40, 40)))
+        # the last digits hang on which texts share a batch
+        return np.round(1 / (1 + np.exp(np.clip(total.astype(np.float64), -40, 40))), 5)
 
 
 def lay_out(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' bytes, each padded to whole blocks, and the first block of each; an empty text has one block."""
+    """All texts' bytes, each padded to whole blocks, and the first block of each; an empty text has one block.
+
+    The zeros in front of a text are as many as a filter at the end of the text before it can reach.
+    """
     parts, first, at = [], [], 0
     for text in texts:
-        raw = (text or "").encode()
-        size = -(-(len(raw) + WIDTH - 1) // BLOCK) * BLOCK  # no filter sees two documents
+        raw = bytes(WIDTH - 1) + (text or "").encode()
+        size = -(-len(raw) // BLOCK) * BLOCK
         parts.append(raw.ljust(size, b"\0"))
         first.append(at)
         at += size // BLOCK
