@@ -180,11 +180,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     length = usable.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     usable = usable.where(F.size("vector") == (length["d"] if length else 0))
     # equal vectors hash alike and are told apart by their components; a hot one is one row per task
-    distinct = materialize(usable.groupBy("vector").agg(
-        F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "distinct-vectors")
+    distinct = usable.groupBy("vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # numbered once, when written: an id of several vectors cannot tell them apart
+    distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-vectors")
     total = distinct.count()
     if total:
-        sample = distinct.select("vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+        sample = distinct.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).collect()
         index = fit(unit_vectors([r["vector"] for r in sample]), total)
         # the stage that places the vectors is not run again for each count
         homes = _blocks(materialize(_placed(distinct, index, False), "homes"))
@@ -198,12 +199,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = ends.join(fresh_keys(classes.withColumnRenamed("id", "b"), ["b"]), "b").groupBy("a").agg(
         F.sum("copies").alias("others"))
-    roots = components(links)
+    roots = components(links).withColumnsRenamed({"node": "id", "component": "root"})
+    members = materialize(distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
+    least = members.groupBy("root").agg(F.min("least").alias("component_id"))
     found = (
-        distinct.join(degree.withColumnRenamed("a", "id"), "id", "left")
-        .join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .select("vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-                F.coalesce("component", "id").alias("component_id"))
+        members.join(fresh_keys(least, ["root"]), "root")
+        .join(degree.withColumnRenamed("a", "id"), "id", "left")
+        .select("vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     )
     found = materialize(found, "vector-classes")
     return rows.join(found, "vector", "left").select(
