@@ -100,3 +100,65 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(docs, langid.learn(docs, fold_out=1, folds=3))
     held_out = F.coalesce(quality.fold_of(F.col("doc_id"), 3) == 1, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secrets_sql() -> str:
+    """The same search and links in SQL; the pattern engine there has no look-around, so long runs are filtered."""
+    found, kinds = [], []
+    for rank, (kind, pattern, role, weak) in enumerate(secrets.KINDS, 1):
+        plain = "[A-Za-z0-9+/_=-]{20,}" if kind == "random" else pattern
+        found.append(f"SELECT r, {rank} AS rank, regexp_extract_all(t, {_sql_text(plain)}) AS m, "
+                     f"string_split_regex(t, {_sql_text(plain)}) AS p FROM docs")
+        kinds.append(f"({rank}, '{kind}', '{role}', {str(weak).lower()})")
+    assign = _sql_text(secrets.KINDS[0][1])
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+kinds(rank, kind, role, weak) AS (VALUES {', '.join(kinds)}),
+found AS ({' UNION ALL '.join(found)}),
+steps AS (
+  SELECT r, rank, unnest(m) AS m, unnest(p[1:len(m)]) AS p, generate_subscripts(m, 1) AS i FROM found WHERE len(m) > 0),
+placed AS (
+  SELECT r, rank, m, (sum(length(p)) OVER (PARTITION BY r, rank ORDER BY i)
+    + sum(length(m)) OVER (PARTITION BY r, rank ORDER BY i) - length(m))::BIGINT AS a FROM steps),
+spans AS (
+  SELECT r, rank, kind, role, weak, a, a + length(m) AS e FROM placed JOIN kinds USING (rank)
+  WHERE CASE kind
+    WHEN 'assign' THEN length(regexp_extract(m, {assign}, 2)) >= 6
+    WHEN 'access' THEN length(m) >= 20
+    WHEN 'random' THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')
+    ELSE true END),
+pairs AS (
+  SELECT i.r, i.rank AS i_rank, i.a AS i_a, i.e AS i_e, s.rank AS s_rank, s.a AS s_a, s.e AS s_e, i.weak AND s.weak AS both_weak
+  FROM spans i JOIN spans s ON i.r = s.r AND abs(i.a - s.a) <= {secrets.SCOPE}
+  WHERE i.role = 'identifier' AND s.role = 'secret'),
+completed AS (
+  SELECT q.*, n.rank AS n_rank, n.a AS n_a, n.e AS n_e
+  FROM pairs q JOIN spans n ON q.r = n.r AND n.role = 'endpoint' AND abs(q.i_a - n.a) <= {secrets.SCOPE}
+  WHERE q.both_weak),
+reported AS (
+  SELECT r, i_rank AS rank, i_a AS a, i_e AS e FROM pairs WHERE NOT both_weak
+  UNION SELECT r, s_rank, s_a, s_e FROM pairs WHERE NOT both_weak
+  UNION SELECT r, i_rank, i_a, i_e FROM completed
+  UNION SELECT r, s_rank, s_a, s_e FROM completed
+  UNION SELECT r, n_rank, n_a, n_e FROM completed
+  UNION SELECT n.r, n.rank, n.a, n.e FROM spans s JOIN spans n
+    ON s.r = n.r AND s.role = 'secret' AND NOT s.weak AND n.role = 'endpoint' AND abs(s.a - n.a) <= {secrets.SCOPE}),
+listed AS (
+  SELECT r, rank, kind, weak, a, e FROM spans WHERE NOT weak
+  UNION ALL SELECT r, rank, kind, weak, a, e FROM reported JOIN kinds USING (rank) WHERE weak),
+lists AS (
+  SELECT r, count(*) FILTER (rank = 1) AS n_assign, count(*) FILTER (rank = 2) AS n_access, count(*) FILTER (rank = 3) AS n_hex,
+    string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, rank, e) FILTER (NOT weak) AS base,
+    string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, rank, e) AS spans
+  FROM listed GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN lists USING (r)
+"""
+
+
+ORACLE["op6_secrets"] = _secrets_sql()
