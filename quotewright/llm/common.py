@@ -16,7 +16,7 @@ BATCH = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
-_shipped: set[str] = set()
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -38,7 +38,8 @@ def ship_package(spark: SparkSession) -> None:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     top = os.path.dirname(package)
-    archive = os.path.join(tempfile.mkdtemp(prefix="quotewright-"), "quotewright_package.zip")
+    folder_of_archive = tempfile.TemporaryDirectory(prefix="quotewright-")  # until the driver ends
+    archive = os.path.join(folder_of_archive.name, "quotewright_package.zip")
     with zipfile.ZipFile(archive, "w") as out:
         for folder, _, names in os.walk(package):
             for name in sorted(names):
@@ -46,7 +47,7 @@ def ship_package(spark: SparkSession) -> None:
                     path = os.path.join(folder, name)
                     out.write(path, os.path.relpath(path, top))
     context.addPyFile(archive)
-    _shipped.add(context.applicationId)
+    _shipped[context.applicationId] = folder_of_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,6 +30,8 @@ BUCKETS, BLOCK, LANGUAGES = 1 << 16, 64, 64
 SAMPLE_ROWS, SAMPLE_CHARS, LEXICON = 300, 20_000, 1000
 #: Words of a training chain and of one language in it, chains of a step, steps, step size.
 CHAIN, STRETCH, CHAINS, STEPS, RATE = 96, 24, 64, 150, 0.3
+#: Words whose evidence is gathered at once.
+AT_ONCE = 100_000
 UNKNOWN = "und"
 
 _ONE = np.ones(1, np.uint64)
@@ -62,6 +64,11 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
+    def part(self, first: int, last: int) -> Words:
+        """Words first to last - 1, with the bytes around them."""
+        low, high = self.start[first] - 1, self.end[last - 1] + 3
+        return Words(self.flat[low:high], self.start[first:last] - low, self.end[first:last] - low, self.owner[first:last])
+
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Bucket of the trigram at each byte, and where each word's trigrams start."""
         return _bucket(self._at(np.arange(len(self.flat) - 2)), 1), self.start - 1
@@ -111,10 +118,13 @@ class Field:
 
     def evidence(self, words: Words) -> np.ndarray:
         """Log-potential of every language for every word."""
-        bucket, first = words.grams()
-        out = _sum_between(self.grams[bucket], first, words.end - 1)
-        out += self.affix[words.affixes()].sum(axis=1)
-        return out + self.membership(words) @ self.known
+        out = np.empty((len(words), len(self.languages)), np.float32)
+        for at in range(0, len(words), AT_ONCE):
+            part = words.part(at, min(len(words), at + AT_ONCE))
+            bucket, first = part.grams()
+            out[at : at + AT_ONCE] = _sum_between(self.grams[bucket], first, part.end - 1)
+            out[at : at + AT_ONCE] += self.affix[part.affixes()].sum(axis=1) + self.membership(part) @ self.known
+        return out
 
     def marginals(self, words: Words) -> np.ndarray:
         return forward_backward(self.evidence(words), self.transitions, words.owner)[0]
