@@ -128,7 +128,8 @@ def _placed(vectors: DataFrame, index: MultiIndex, query: bool) -> DataFrame:
                 [pa.array(cells.ravel()), batch.column(0).take(rows), batch.column(1).take(rows)],
                 ["cell", "id", "vector"])
 
-    return vectors.select("id", "vector").mapInArrow(run, "cell long, id long, vector array<double>")
+    kind = vectors.schema["vector"].dataType.simpleString()
+    return vectors.select("id", "vector").mapInArrow(run, f"cell long, id long, vector {kind}")
 
 
 def _blocks(placed: DataFrame) -> DataFrame:
@@ -174,7 +175,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     An empty table gives an empty result; other columns are ignored.
     """
     spark = prepare(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    # single precision travels as it is; the cosine is computed in double
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    vector = F.col(vector_col).cast("array<float>" if single else "array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull())
     usable = rows.where(_usable(F.col("vector")))
     length = usable.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
