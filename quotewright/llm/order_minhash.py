@@ -7,9 +7,11 @@ Texts that agree in one of the sketches are candidates; the alignment decides: t
 labelled shingles in the order of both texts, within the band that the threshold leaves, as a part of all
 shingles. It is the Jaccard similarity of the shingles, counted in order.
 
-Candidates of a large bucket (a thousand copies of one text, a passage in a third of all texts) are not paired
-with each other. The text that shares the most sketches with others, as an original does, is compared with all
-of the bucket; those not like it go on among themselves, with the next such text, round by round.
+Candidates of a large bucket (a thousand copies of one text, a passage in a third of all texts) are compared all
+with each other too, but not as pairs of rows: the bucket is cut into blocks of bounded size, and where two blocks
+meet, the common shingles of all their pairs are counted at once. Pairs with enough of them are aligned. A meeting
+returns the number of links of each text and a forest of the links, so what it returns does not grow with the
+square of the bucket.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.joins import fresh_keys
 from ..session import materialize
@@ -31,10 +34,10 @@ WORDS, SIMILARITY = 5, 0.8
 #: Sketches of a text and shingles in each. Two texts at the threshold agree in one sketch with about
 #: ``SIMILARITY ** TAKEN``, so that one pair in 100,000 agrees in none.
 SKETCHES, TAKEN = 16, 3
-#: Up to so many different texts of a bucket are compared all with each other.
+#: Up to so many different texts of a bucket are compared by pairs of rows, more of them by blocks.
 SMALL = 12
-#: Rounds of leaders in larger buckets.
-ROUNDS = 4
+#: Texts and shingles of a block, on average at most, and different shingles that are counted at once.
+BLOCK, BLOCK_SHINGLES, COUNTED = 256, 1 << 17, 4096
 
 _ONE = np.ones(1, np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -112,13 +115,16 @@ def sketch(h: np.ndarray, sketches: int = SKETCHES, taken: int = TAKEN) -> np.nd
     return key.view(np.int64)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> float:
-    """Common labelled shingles in the order of both texts, as a part of all; 0.0 once it must be below ``threshold``."""
+def similarity(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY, order: np.ndarray | None = None) -> float:
+    """Common labelled shingles in the order of both texts, as a part of all; 0.0 once it must be below ``threshold``.
+
+    ``order`` sorts ``b``, where that is known already.
+    """
     total = len(a) + len(b)
     if not len(a) or not len(b) or min(len(a), len(b)) < threshold * max(len(a), len(b)):
         return 0.0
     band = total * (1 - threshold) / (1 + threshold)
-    order = np.argsort(b)
+    order = np.argsort(b) if order is None else order
     at = np.minimum(np.searchsorted(b, a, sorter=order), len(b) - 1)
     there = order[at]
     own = np.flatnonzero((b[there] == a) & (np.abs(there - np.arange(len(a))) <= band))
@@ -159,32 +165,147 @@ def sketch_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _buckets(texts: DataFrame) -> DataFrame:
-    """``key, doc_id, n, weight``: the buckets of two texts or more; ``weight`` tells how much company a text has."""
-    rows = texts.select(F.explode("keys").alias("key"), "doc_id", "n")
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    shared = materialize(rows.join(fresh_keys(counts, ["key"]), "key"), "buckets")
-    weights = shared.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    return shared.drop("size").join(fresh_keys(weights, ["doc_id"]), "doc_id")
-
-
-def _round_candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to compare, and the rows of large buckets with their leader ``a``."""
-    leaders = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"),
-        F.max(F.struct("weight", (-F.col("doc_id")).alias("least"), "n")).alias("top"),
-    ).where(F.col("size") > 1)
-    led = rows.join(fresh_keys(leaders, ["key"]), "key")
-    led = led.withColumn("leader", -F.col("top.least")).withColumn("leader_n", F.col("top.n"))
-    large = led.where((F.col("size") > SMALL) & (F.col("doc_id") != F.col("leader")))
-    small = led.where(F.col("size") <= SMALL).select("key", "doc_id", "n")
+    """``key, place, doc_id, same, n, blocks``: the buckets of two texts or more; ``blocks`` is 0 for a small one."""
+    rows = texts.select(F.posexplode("keys").alias("place", "key"), "doc_id", "same", "n")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where(F.col("size") > 1)
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES))
+    counts = counts.select("key", F.when(F.col("size") > SMALL, blocks).otherwise(0).cast("int").alias("blocks"))
+    return materialize(rows.join(fresh_keys(counts, ["key"]), "key"), "buckets")
+
+
+def _small_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of small buckets to compare."""
+    small = buckets.where(F.col("blocks") == 0).select("key", "doc_id", "n")
     # at most SMALL rows of a key on either side
     other = fresh_keys(small, ["key"]).select("key", F.col("doc_id").alias("o_id"), F.col("n").alias("o_n"))
     pairs = small.join(other, "key").where(F.col("doc_id") < F.col("o_id"))
-    alike = lambda n, m: F.least(n, m) >= SIMILARITY * F.greatest(n, m)  # noqa: E731  else no alignment can do
-    near = pairs.where(alike(F.col("n"), F.col("o_n"))).select(F.col("doc_id").alias("a"), F.col("o_id").alias("b"))
-    star = large.where(alike(F.col("n"), F.col("leader_n"))).select(
-        F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
-    return near.unionByName(star).distinct(), large.select("key", "doc_id", "n", "weight", "leader")
+    alike = F.least("n", "o_n") >= SIMILARITY * F.greatest("n", "o_n")  # else no alignment can do
+    return pairs.where(alike).select(F.col("doc_id").alias("a"), F.col("o_id").alias("b")).distinct()
+
+
+def _blocks(buckets: DataFrame, rows: DataFrame) -> DataFrame:
+    """``key, block, rows``: large buckets in blocks of (doc_id, h, keys, large).
+
+    ``h`` holds the text's shingles; ``keys`` its key in each sketch, 0 where it has no company, and ``large``
+    a bit for each sketch whose bucket is large.
+    """
+    held = buckets.groupBy("doc_id", "same").agg(F.collect_list(F.struct("place", "key", "blocks")).alias("held"))
+    held = held.where(F.exists("held", lambda x: x["blocks"] > 0))
+    texts = rows.select("doc_id", F.sha2("text", 256).alias("same"), "text")
+    # a repeated row counts once
+    members = texts.join(fresh_keys(held, ["doc_id", "same"]).hint("merge"), ["doc_id", "same"])
+    members = members.groupBy("doc_id", "same").agg(F.first("text").alias("text"), F.first("held").alias("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [shingles(text).tobytes() for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(h, pa.binary())],
+                ["doc_id", "same", "held", "h"])
+
+    kinds = dict(members.dtypes)
+    cut = members.select("doc_id", "same", "text", "held").mapInArrow(
+        run, f"doc_id {kinds['doc_id']}, same string, held {kinds['held']}, h binary")
+    by_place = F.map_from_arrays(F.transform("held", lambda x: x["place"]), F.transform("held", lambda x: x["key"]))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.coalesce(F.element_at(by_place, i), F.lit(0)))
+    large = F.aggregate("held", F.lit(0), lambda bits, x: bits + F.when(
+        x["blocks"] > 0, F.call_function("shiftleft", F.lit(1), x["place"])).otherwise(0))
+    each = cut.select("doc_id", "same", "h", keys.alias("keys"), large.alias("large"), F.explode("held").alias("at"))
+    each = each.where(F.col("at.blocks") > 0)
+    block = F.pmod(F.xxhash64("same"), F.col("at.blocks")).alias("block")
+    return each.select(F.col("at.key").alias("key"), block, "doc_id", "h", "keys", "large").groupBy("key", "block").agg(
+        F.collect_list(F.struct("doc_id", "h", "keys", "large")).alias("rows"))
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Number of common labelled shingles of each text of ``a`` with each of ``b``."""
+    flat = [np.concatenate(side) for side in (a, b)]
+    text = [np.repeat(np.arange(len(side)), [len(h) for h in side]) for side in (a, b)]
+    shared = np.intersect1d(*flat)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(shared):
+        return out
+    column = [np.minimum(np.searchsorted(shared, f), len(shared) - 1) for f in flat]
+    found = [shared[c] == f for c, f in zip(column, flat)]
+    text, column = [t[k] for t, k in zip(text, found)], [c[k] for c, k in zip(column, found)]
+    order = [np.argsort(c, kind="stable") for c in column]
+    text, column = [t[o] for t, o in zip(text, order)], [c[o] for c, o in zip(column, order)]
+    for at in range(0, len(shared), COUNTED):
+        sides = []
+        for t, c, n in zip(text, column, out.shape):
+            low, high = np.searchsorted(c, [at, at + COUNTED])
+            side = np.zeros((n, min(COUNTED, len(shared) - at)), np.float32)
+            side[t[low:high], c[low:high] - at] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _met(ids: list[np.ndarray], h: list[list[np.ndarray]], keys: list[np.ndarray], large: list[np.ndarray], key: int,
+         same: bool) -> list[tuple]:
+    """(a, b, 0) for the links of a forest and (a, a, number of links) of the texts of two blocks, or of one.
+
+    A pair is compared in the first of its sketches only, and not here if a small bucket has it.
+    """
+    n, m = [np.array([len(x) for x in side]) for side in h]
+    total = n[:, None] + m[None, :]
+    enough = _common(*h) * (1 + SIMILARITY) >= SIMILARITY * total - 1e-6 * total  # else no alignment can do
+    q, x = np.nonzero(np.triu(enough, 1) if same else enough)
+    agreed = (keys[0][q] == keys[1][x]) & (keys[0][q] != 0)
+    place = int(np.flatnonzero(keys[0][0] == key)[0])
+    is_large = (large[0][q][:, None] >> np.arange(agreed.shape[1])) & 1 == 1
+    own = (ids[0][q] != ids[1][x]) & ~(agreed & ~is_large).any(1) & (agreed.argmax(1) == place)
+    shift = 0 if same else len(ids[0])
+    parent = list(range(len(ids[0]) + (0 if same else len(ids[1]))))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    orders: dict[int, np.ndarray] = {}
+    degree, out = [0] * len(parent), []
+    for i, j in zip(q[own].tolist(), x[own].tolist()):
+        if j not in orders:
+            orders[j] = np.argsort(h[1][j])
+        if similarity(h[0][i], h[1][j], order=orders[j]) >= SIMILARITY:
+            degree[i] += 1
+            degree[j + shift] += 1
+            u, v = root(i), root(j + shift)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                out.append((*sorted((ids[0][i].item(), ids[1][j].item())), 0))
+    every = ids[0].tolist() + ([] if same else ids[1].tolist())
+    return out + [(i, i, d) for i, d in zip(every, degree) if d]
+
+
+def _large_links(blocks: DataFrame) -> DataFrame:
+    """``a, b, degree``: what ``_met`` finds where blocks of a bucket meet each other and themselves."""
+    alone = blocks.select("key", F.col("rows").alias("left"), F.slice("rows", 1, 0).alias("right"))
+    other = fresh_keys(blocks.select("key", F.col("block").alias("o_block"), F.col("rows").alias("right")), ["key"])
+    met = blocks.withColumnRenamed("rows", "left").join(other.hint("merge"), "key").where(F.col("block") < F.col("o_block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(rows: pa.ListScalar) -> tuple:
+            values = rows.values
+            texts = [np.frombuffer(x, np.uint64) for x in values.field("h").to_pylist()]
+            keys = values.field("keys").flatten().to_numpy().reshape(len(texts), -1)
+            return np.array(values.field("doc_id").to_pylist()), texts, keys, values.field("large").to_numpy()
+
+        for batch in batches:
+            out = []
+            for key, left, right in zip(*[batch.column(i) for i in range(3)]):
+                first = side(left)
+                same = not len(right)
+                out += _met(*[list(x) for x in zip(first, first if same else side(right))], key.as_py(), same)
+            columns = list(zip(*out)) or [[], [], []]
+            kinds = [kind_of, kind_of, pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "degree"])
+
+    kind = blocks.schema["rows"].dataType.elementType["doc_id"].dataType
+    kind_of = to_arrow_type(kind)
+    return alone.unionByName(met.select("key", "left", "right")).mapInArrow(
+        run, f"a {kind.simpleString()}, b {kind.simpleString()}, degree int")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -234,30 +355,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = materialize(sketch_texts(rows), "sketches")
     first = sketched.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     texts = materialize(first.where(F.col("n") > 0), "texts")
-    left = materialize(_buckets(texts), "shared-sketches")
+    buckets = _buckets(texts)
     # whole texts are shuffled once, for those in company, by the same plan at every size
-    company = fresh_keys(left.select("doc_id").distinct(), ["doc_id"]).hint("merge")
+    company = fresh_keys(buckets.select("doc_id").distinct(), ["doc_id"]).hint("merge")
     rows = materialize(rows.join(company, "doc_id", "left_semi"), "texts-in-company")
-    links = None
-    for _ in range(ROUNDS):
-        pairs, large = _round_candidates(left)
-        pairs, large = materialize(pairs, "pairs"), materialize(large, "large-buckets")
-        found = materialize(_verified(pairs, rows), "links").distinct()
-        links = found if links is None else links.unionByName(found)
-        ends = found.select(F.col("a").alias("doc_id"), F.col("b").alias("leader")).unionByName(
-            found.select(F.col("b").alias("doc_id"), F.col("a").alias("leader")))
-        rest = large.join(ends, ["doc_id", "leader"], "left_anti").drop("leader")
-        left = materialize(rest, "unlike-the-leader")
-        if left.isEmpty():
-            break
-    links = materialize(links.distinct(), "links")
+    links = materialize(_verified(materialize(_small_pairs(buckets), "pairs"), rows).distinct(), "links")
+    # links within large buckets: a forest of them, and the number that each text has
+    large = materialize(_large_links(materialize(_blocks(buckets, rows), "blocks")), "links-of-large-buckets")
     copies = sketched.join(fresh_keys(first.select("same", F.col("doc_id").alias("first")), ["same"]), "same")
     copies = materialize(copies.select("doc_id", "first").distinct(), "copies")
-    joined = links.unionByName(copies.where(F.col("doc_id") != F.col("first")).select(
-        F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    joined = links.unionByName(large.where("a != b").select("a", "b")).unionByName(
+        copies.where(F.col("doc_id") != F.col("first")).select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     classes = components(joined).withColumnsRenamed({"node": "doc_id"})
-    degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(
-        F.count(F.lit(1)).alias("n_links"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("first"), F.lit(1).alias("degree"))
+    degree = ends.unionByName(large.where("a = b").select(F.col("a").alias("first"), "degree")).groupBy("first").agg(
+        F.sum("degree").alias("n_links"))
     each = copies.join(fresh_keys(degree, ["first"]), "first", "left").groupBy("doc_id").agg(
         F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
     return each.join(classes, "doc_id", "left").select(

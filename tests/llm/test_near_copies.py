@@ -137,6 +137,39 @@ def test_classes_like_brute_force(spark):
     assert got == {i: (c, i == c) for i, c in want.items()}
 
 
+def descendants(n, seed):
+    """Texts of 200 words, each an edit of three words of a random earlier one: one family, mostly unlike each other."""
+    draw = random.Random(seed)
+    texts = [words(200, seed)]
+    for i in range(1, n):
+        texts.append(list(draw.choice(texts)))
+        for at in draw.sample(range(200), 3):
+            texts[-1][at] = f"e{i}x{at}"
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def plain_links(rows):
+    """Brute force: the pairs of enough common shingles, counted for all pairs, aligned."""
+    h = [order_minhash.shingles(t) for _, t in rows]
+    _, column = np.unique(np.concatenate(h), return_inverse=True)
+    at = np.repeat(np.arange(len(h)), [len(x) for x in h])
+    there = np.zeros((len(h), column.max() + 1), np.float32)
+    there[at, column] = 1
+    n = there.sum(1)
+    a, b = np.nonzero(np.triu(there @ there.T >= 0.79 / 1.79 * (n[:, None] + n), 1))
+    return [(i, j) for i, j in zip(a.tolist(), b.tolist()) if order_minhash.similarity(h[i], h[j]) >= order_minhash.SIMILARITY]
+
+
+def test_a_family_of_a_chain(spark):
+    rows = descendants(3000, 5)
+    links = plain_links(rows)
+    want = classes(range(len(rows)), links)
+    degree = np.bincount(np.array(links).ravel(), minlength=len(rows))
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in order_minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert len(set(want.values())) == 1
+    assert got == {i: (want[i], degree[i]) for i in want}
+
+
 def test_near_edges(spark):
     rows = edge_rows()
     got = {r["doc_id"]: r["component_id"] for r in order_minhash.near_duplicates(docs(spark, rows)).collect()}
