@@ -2,17 +2,19 @@
 
 Each half of a unit vector has a codebook of its own; the pairs of codewords form a grid of cells. Every vector
 lies in the cell of its nearest codewords and, as a query, visits cells in the order of its distance to them
-(multi-sequence traversal: the two sorted distance lists are merged cell by cell). How many cells a query
-visits is what it takes to reach the target recall on a sample, compared there with brute force. All vectors of
-the visited cells are verified, in blocks of bounded size, so a full cell is many small tasks.
+(multi-sequence traversal: the two sorted distance lists are merged cell by cell). All vectors of the visited
+cells are verified, in blocks of bounded size, so a full cell is many small tasks.
 
-Codebooks and the number of cells come from a bounded sample; every vector is indexed and every vector queries.
+How many cells a query visits has no bound: it is what it takes to reach the target recall, both for a sample of
+queries compared with all rows by brute force, each query with the same weight, and for copies of the sample moved
+to a cosine of just the threshold. Codebooks come from the sample in several sizes, down to a single cell, which is
+brute force; that with the least work is taken. Every vector is indexed and every vector queries.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +28,12 @@ from .common import prepare
 from .components import components
 
 SIMILARITY = 0.9
-#: Rows that codebooks and the number of visited cells are fitted on, at most.
-SAMPLE = 4096
-#: Part of the sample's linked pairs whose cell a query must visit.
+#: Rows that codebooks are fitted on, and of them queries that are compared with all rows, at most.
+SAMPLE, QUERIES = 4096, 256
+#: Part of a query's links, and of the moved copies, whose cell a query must visit.
 TARGET_RECALL = 0.99
+#: Comparisons that cost as much as sending a vector to a cell.
+SENT = 100
 #: Vectors in a cell, on average, that the number of codewords aims at, and the most codewords of a half.
 PER_CELL, CODEWORDS = 8, 512
 #: Vectors in a block of a cell.
@@ -41,6 +45,10 @@ class MultiIndex:
     halves: tuple[np.ndarray, np.ndarray]
     visits: int
 
+    @property
+    def cells(self) -> int:
+        return len(self.halves[0]) * len(self.halves[1])
+
     def distances(self, unit: np.ndarray) -> list[np.ndarray]:
         """Squared distance of each vector's halves to the codewords."""
         middle = unit.shape[1] // 2
@@ -58,7 +66,7 @@ class MultiIndex:
         only pairs of places within that bound are merged.
         """
         first, second = self.distances(unit)
-        wanted = min(visits or self.visits, first.shape[1] * second.shape[1])
+        wanted = min(visits or self.visits, self.cells)
         r, s = np.nonzero(np.outer(np.arange(first.shape[1]) + 1, np.arange(second.shape[1]) + 1) <= wanted)
         by_first, by_second = np.argsort(first, 1, kind="stable"), np.argsort(second, 1, kind="stable")
         total = (np.take_along_axis(first, by_first, 1)[:, r] + np.take_along_axis(second, by_second, 1)[:, s])
@@ -84,26 +92,95 @@ def _codebook(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return words
 
 
-def fit(sample: np.ndarray, rows: int) -> MultiIndex:
-    """An index for ``rows`` vectors from a sample of unit vectors."""
+def _levels(cells: int) -> np.ndarray:
+    """Numbers of visited cells that are told apart: powers of the root of 2, and all cells."""
+    powers = np.unique(np.ceil(2 ** (np.arange(2 * math.log2(cells) + 1) / 2)).astype(int))
+    return np.append(powers[powers < cells], cells)
+
+
+def _reach(index: MultiIndex, queries: np.ndarray) -> np.ndarray:
+    """Distance of the last cell that each query visits, for each of ``_levels``."""
+    out = np.empty((len(queries), len(levels := _levels(index.cells))))
+    for i, (first, second) in enumerate(zip(*index.distances(queries))):
+        out[i] = np.sort((first[:, None] + second).ravel())[levels - 1]
+    out[:, -1] = np.inf
+    return out
+
+
+def _places(index: MultiIndex, queries: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many cells each query visits before it meets the home of its other vector."""
+    home = index.home(others)
+    out = np.empty(len(queries), np.int64)
+    for i, (first, second) in enumerate(zip(*index.distances(queries))):
+        r, s = divmod(int(home[i]), len(second))
+        out[i] = np.searchsorted(np.sort(second), first[r] + second[s] - first, "right").sum()
+    return np.maximum(out, 1)
+
+
+def candidates(sample: np.ndarray, rows: int) -> list[MultiIndex]:
+    """Indexes for ``rows`` vectors, from many cells down to one, with the visits that moved copies need."""
     k = max(1, min(CODEWORDS, len(sample) // 4, 1 << math.ceil(math.log2(max(1.0, math.sqrt(rows / PER_CELL))))))
     middle = sample.shape[1] // 2
-    halves = _codebook(sample[:, :middle], k), _codebook(sample[:, middle:], k)
-    index = MultiIndex(halves, 1)
-    most = min(k * k, 256)
-    home, route = index.home(sample), index.traverse(sample, most)
-    places = []
-    for at in range(0, len(sample), 512):
-        close = sample[at : at + 512] @ sample.T >= SIMILARITY
-        q, x = np.nonzero(close)
-        q, x = q[q + at != x] + at, x[q + at != x]
-        hit = route[q] == home[x][:, None]
-        places.append(np.where(hit.any(1), hit.argmax(1), most))
-    found = np.sort(np.concatenate(places))
-    if not len(found):
-        return MultiIndex(halves, min(most, 16))
-    needed = found[min(len(found) - 1, math.ceil(TARGET_RECALL * len(found)) - 1)] + 1
-    return MultiIndex(halves, int(min(most, max(4, needed))))
+    # copies at the threshold: the way to a vector across is of random direction
+    unit = sample[np.linspace(0, len(sample) - 1, min(len(sample), 1024)).astype(int)]
+    across = np.random.default_rng(20240502).normal(size=unit.shape)
+    across -= (across * unit).sum(1, keepdims=True) * unit
+    size = np.linalg.norm(across, axis=1, keepdims=True)
+    moved = SIMILARITY * unit + math.sqrt(1 - SIMILARITY**2) * across / np.where(size > 1e-9, size, 1)
+    out = []
+    while k > 1:
+        index = MultiIndex((_codebook(sample[:, :middle], k), _codebook(sample[:, middle:], k)), 1)
+        # every vector queries, so either may find the other
+        places = np.sort(np.minimum(_places(index, unit, moved), _places(index, moved, unit)))
+        out.append(MultiIndex(index.halves, int(places[math.ceil(TARGET_RECALL * len(places)) - 1])))
+        k //= 2
+    return [*out, MultiIndex((sample[:1, :middle], sample[:1, middle:]), 1)]
+
+
+@dataclass(frozen=True)
+class QueryLinks:
+    """Counts a block's links of each query: rows (index, query, level that reaches them, links)."""
+
+    indexes: list[MultiIndex]
+    queries: np.ndarray
+    reach: list[np.ndarray]
+
+    def __call__(self, unit: np.ndarray) -> np.ndarray:
+        cosine = self.queries @ unit.T
+        q, x = np.nonzero((cosine >= SIMILARITY) & (cosine < 1 - 1e-12))  # the query itself says nothing
+        out = [np.zeros((0, 4), np.int64)]
+        for i, index in enumerate(self.indexes if len(q) else []):
+            home = index.home(unit)
+            first, second = index.distances(self.queries)
+            away = (first[:, home // len(index.halves[1])] + second[:, home % len(index.halves[1])])[q, x]
+            level = (self.reach[i][q] < away[:, None] - 1e-12).sum(1)
+            each, links = np.unique(np.stack([q, level], 1), axis=0, return_counts=True)
+            out.append(np.column_stack([np.full(len(each), i), each, links]))
+        return np.concatenate(out)
+
+
+def fit(sample: np.ndarray, rows: int, shares: Callable[[QueryLinks], list[tuple]] | None = None) -> MultiIndex:
+    """An index for ``rows`` vectors from a sample of unit vectors.
+
+    ``shares`` takes the ``QueryLinks`` and returns (index, level, sum of the queries' shares of links
+    at the level) over all rows; without it the sample stands for all rows.
+    """
+    indexes = candidates(sample, rows)
+    queries = sample[np.linspace(0, len(sample) - 1, min(len(sample), QUERIES)).astype(int)]
+    count = QueryLinks(indexes, queries, [_reach(x, queries) for x in indexes])
+    found = np.zeros((len(indexes), max(len(_levels(x.cells)) for x in indexes)))
+    if shares:
+        for i, level, share in shares(count):
+            found[i, level] += share
+    else:
+        counted = count(sample)
+        links = np.bincount(counted[counted[:, 0] == 0][:, 1], counted[counted[:, 0] == 0][:, 3], len(queries))
+        np.add.at(found, (counted[:, 0], counted[:, 2]), counted[:, 3] / links[counted[:, 1]])
+    fitted = []
+    for index, share in zip(indexes, found):
+        reached = np.cumsum(share) >= TARGET_RECALL * share.sum()
+        fitted.append(MultiIndex(index.halves, max(index.visits, int(_levels(index.cells)[reached.argmax()]))))
+    return min(fitted, key=lambda x: x.visits * (SENT + rows / x.cells))
 
 
 def _usable(vector: Column) -> Column:
@@ -122,16 +199,39 @@ def _placed(vectors: DataFrame, index: MultiIndex, query: bool) -> DataFrame:
             unit = unit_vectors(batch.column(1).to_pylist()) if len(batch) else np.zeros((0, 2))
             if not len(batch):
                 continue
-            cells = sent.value.traverse(unit) if query else sent.value.home(unit)[:, None]
-            rows = pa.array(np.repeat(np.arange(len(unit)), cells.shape[1]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells.ravel()), batch.column(0).take(rows), batch.column(1).take(rows)],
-                ["cell", "id", "vector"])
+            # a few thousand rows at a time, however many cells are visited
+            step = max(1, 8192 // sent.value.visits) if query else len(unit)
+            for at in range(0, len(unit), step):
+                part = unit[at : at + step]
+                cells = sent.value.traverse(part) if query else sent.value.home(part)[:, None]
+                rows = pa.array(np.repeat(np.arange(at, at + len(part)), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells.ravel()), batch.column(0).take(rows), batch.column(1).take(rows)],
+                    ["cell", "id", "vector"])
 
     kind = vectors.schema["vector"].dataType.simpleString()
     return vectors.select("id", "vector").mapInArrow(run, f"cell long, id long, vector {kind}")
 
 
+def _shares(vectors: DataFrame, count: QueryLinks) -> list[tuple]:
+    """For ``fit``: the sampled queries against all vectors; a few rows for each index reach the driver."""
+    sent = vectors.sparkSession.sparkContext.broadcast(count)  # codebooks and QUERIES vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                counted = sent.value(unit_vectors(batch.column(0).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in counted.T], ["i", "q", "level", "links"])
+
+    each = vectors.select("vector").mapInArrow(run, "i long, q long, level long, links long")
+    each = materialize(each.groupBy("i", "q", "level").agg(F.sum("links").alias("links")), "query-links")
+    # each query weighs the same, whatever the size of its cluster
+    total = each.groupBy("i", "q").agg(F.sum("links").alias("total"))
+    share = each.join(fresh_keys(total, ["i", "q"]), ["i", "q"]).groupBy("i", "level").agg(
+        F.sum(F.col("links") / F.col("total")).alias("share"))
+    return [tuple(r) for r in share.collect()]
+
+
 def _blocks(placed: DataFrame) -> DataFrame:
     """``cell, ids, vectors``: the rows of a cell in blocks of about ``BLOCK``."""
     counts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
@@ -190,7 +290,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     total = distinct.count()
     if total:
         sample = distinct.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).collect()
-        index = fit(unit_vectors([r["vector"] for r in sample]), total)
+        index = fit(unit_vectors([r["vector"] for r in sample]), total, lambda count: _shares(distinct, count))
         # the stage that places the vectors is not run again for each count
         homes = _blocks(materialize(_placed(distinct, index, False), "homes"))
         visits = _blocks(materialize(_placed(distinct, index, True), "visits"))

@@ -223,6 +223,37 @@ def test_traversal_is_by_distance():
     assert np.allclose(np.take_along_axis(total, visited, 1), np.sort(total, 1)[:, :20])
 
 
+def test_recall_in_a_hot_cluster():
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=64)
+    v = np.concatenate([draw.normal(size=(40_000, 64)), base + draw.normal(size=(20_000, 64)) * 0.15])
+    unit = multi_index.unit_vectors(list(v))
+    sample = unit[draw.permutation(len(unit))[: multi_index.SAMPLE]]
+    for rows in (60_000, 200_000):
+        index = multi_index.fit(sample, rows)
+        a, b = unit[40_000:40_300], unit[50_000:50_300]
+        close = a @ b.T >= multi_index.SIMILARITY
+        there = (index.traverse(a)[:, None, :] == index.home(b)[None, :, None]).any(2)
+        back = (index.traverse(b)[:, None, :] == index.home(a)[None, :, None]).any(2)
+        assert close.mean() > 0.9 and (there | back.T)[close].mean() >= 0.97
+
+
+def test_planted_pairs_among_many(spark):
+    """Pairs just above the threshold, almost none of them in a sample."""
+    draw = np.random.default_rng(9)
+    v = draw.normal(size=(30_000, 64))
+    across = draw.normal(size=(1000, 64))
+    unit = v[:1000] / np.linalg.norm(v[:1000], axis=1, keepdims=True)
+    across -= (across * unit).sum(1, keepdims=True) * unit
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    tight = draw.normal(size=64) + draw.normal(size=(100, 64)) * 0.01
+    v = np.concatenate([v, 0.91 * unit + np.sqrt(1 - 0.91**2) * across, tight])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    rows = {r["vec_id"]: r for r in multi_index.near_vectors(df).collect()}
+    assert sum(rows[i]["component_id"] == rows[30_000 + i]["component_id"] for i in range(1000)) >= 970
+    assert all(rows[i]["n_links"] == 99 for i in range(31_000, 31_100))
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]),
