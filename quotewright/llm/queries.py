@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, multi_index, order_minhash, packing, quality, secrets, url_filter, wavelet
+from . import (
+    alignment, bpe, decontaminate, langid, multi_index, order_minhash, packing, quality, secrets, url_filter, variants,
+    wavelet,
+)
 from .common import prepare, table
 from .exact_dedup import exact_dedup
 
@@ -102,6 +105,28 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.count_words(table(spark, sf_dir, "documents"), least_length=7, least_count=2, misspell=31)
+    return variants.spelling_variants(words, ratio=10)
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align_corpus(table(spark, sf_dir, "documents"), *paths, digest=True).withColumnRenamed(
+        "groups", "groups_sha256")
+
+
+@query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    automata = decontaminate.build_automata(table(spark, sf_dir, "benchmark"), window=10)
+    marked = decontaminate.mark_documents(table(spark, sf_dir, "documents"), automata, keep=["doc_id"])
+    return marked.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
