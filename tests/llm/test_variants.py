@@ -62,30 +62,37 @@ def of(df):
     return sorted(map(tuple, df.select("word", "form", "root", "n", "n_near", "form_n").collect()), key=str)
 
 
-few = st.text("abé", min_size=1, max_size=7)
+few = st.lists(st.text("abé", min_size=1, max_size=7), max_size=25, unique=True)
 
 
-@settings(max_examples=300, deadline=None)
-@given(few, few)
-def test_signatures_lose_no_pair(a, b):
-    sigs = v.signatures([a, b])
-    changed = sum(((Counter(a) - Counter(b)) + (Counter(b) - Counter(a))).values())
-    assert (changed <= 2) <= bool(np.any(sigs[0] == sigs[1]))
-    if near(a, b):
-        owner, place, rest = v.without_one([a, b])
-        whole = v.whole_hashes([a, b])
-        same = lambda x, y: {(p, r) for o, p, r in zip(owner, place, rest) if o == x} & {(p, r) for o, p, r in zip(owner, place, rest) if o == y}
-        assert bool(same(0, 1)) if len(a) == len(b) else (set(rest[owner == 0]) & {whole[1]}) | (set(rest[owner == 1]) & {whole[0]})
+@settings(max_examples=200, deadline=None)
+@given(few)
+def test_every_pair_belongs_to_one_signature(words):
+    rows = sorted((sig, w) for w, sigs in zip(words, v.signatures(words).tolist() if words else []) for sig in sigs)
+    sig, some = np.array([r[0] for r in rows], np.uint64), [r[1] for r in rows]
+    low, high = v.pairs_within(some, sig) if rows else ([], [])
+    got = sorted(tuple(sorted((some[i], some[j]))) for i, j in zip(low, high))
+    assert got == sorted(tuple(sorted(p)) for p in combinations(words, 2) if near(*p))
 
 
-@pytest.mark.parametrize("bucket", [0, 3, 128])
-def test_words_of_few_letters(spark, monkeypatch, bucket):
-    monkeypatch.setattr(v, "BUCKET", bucket)  # all buckets by finer keys, some, none
+def few_letters():
     draw = np.random.default_rng(1)
     words = {"".join(draw.choice(list("abcé"), draw.integers(7, 9))): int(10 ** draw.uniform(0.4, 5)) for _ in range(700)}
-    words |= {"x" * 3000 + "a": 5, "x" * 3000 + "b": 900, "x" * 3000: 3, "baaaaaaaa" * 1000: 4}
+    return words | {"x" * 3000 + "a": 5, "x" * 3000 + "b": 900, "x" * 3000: 3, "baaaaaaaa" * 1000: 4}
+
+
+@pytest.mark.parametrize("letters,sample", [(1 << 20, 64), (300, 64), (16, 1)])
+def test_words_of_few_letters(spark, monkeypatch, letters, sample):
+    # all buckets at once, bucket by bucket, the large ones dealt out
+    monkeypatch.setattr(v, "LETTERS", letters)
+    monkeypatch.setattr(v, "SAMPLE", sample)
+    monkeypatch.setattr(v, "SLOTS_PER_TASK", 100 if sample == 1 else 4)
+    words = few_letters()
     df = spark.createDataFrame(list(words.items()), "word string, n bigint")
+    dealt = []
+    monkeypatch.setattr(v, "_near_dealt_out", lambda signed, f=v._near_dealt_out: dealt.append(signed.count()) or f(signed))
     assert of(v.spelling_variants(df)) == brute(words)
+    assert bool(dealt) == (sample == 1) and all(0 < n < 15 * len(words) for n in dealt)
 
 
 def test_chain_of_forms(spark):
