@@ -1,109 +1,161 @@
-"""Unique display labels."""
+"""Unique display labels.
+
+In order, each row takes the first of its candidates that no earlier row has: its base label, ``base | d`` for each
+disambiguator d, ``base (#2)``, ``base (#3)`` and so on. Labels are compared as they read, so a base label such as
+``A | B`` or ``A (#2)`` may stand in the way of another base's longer form.
+
+No group of rows is walked through. Rows claim a candidate; of all that ever claimed a label the earliest has it,
+which settles the label as if rows had come one by one: a row that lost a label has lost it to an earlier row, and
+whoever takes the label from that one is earlier still. Each round holds only the rows that lost a label in the
+round before. Rows that run out of disambiguators are numbered together, by their place among such rows of their
+base; a number whose label belongs to an earlier row of another base is left out.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean_text, label
 from ..session import materialize
-from .joins import fresh_keys
-from .numbering import with_group_position
+from .joins import keep_keys, lookup
+from .numbering import with_group_position, with_position
+
+_LABEL = ["_scope", "label"]
+_GROUP = ["_scope", "_base"]
+_CLAIM = [*_LABEL, "_pos", "_at", "_numbered"]
 
 
 def unique_labels(
     df: DataFrame, base: list[str], disambiguators: list[str], order: list[str], scope: list[str] | None = None,
 ) -> DataFrame:
-    """Add ``label``, unique within ``scope``.
+    """Add ``label``, unique within ``scope`` (null is a scope of its own), by the rule above.
 
-    In ``order``, a row gets its base label if that is free, else ``base | d`` for the first
-    disambiguator d with a free label, else ``base (#n)`` with the next free n from 2.
-
-    Rows are never gathered by label. Who takes ``base | d`` is settled by aggregates: the earliest row
-    that gets as far as asking for it. The first disambiguator is asked for by every row but the first of
-    its base; the second by rows that were too late for the first, and so on. One value can serve two
-    rows in different roles, which may push a third row on to its next choice, so the takers are worked
-    out again until they no longer change: one extra look when no value occurs in two roles, else one
-    more per link in such a chain. Only the rows left over are ranked, by ``with_group_position``.
-
-    A base label that itself reads like ``other base | d`` is not compared with that label.
+    Rows equal in ``order`` come in some order. Blank disambiguators are skipped; a blank base reads ``N/A``.
+    """
+    clean = F.col("_base")
+    longer = [F.nullif(clean_text(F.col(d)), F.lit("")) for d in disambiguators]
+    candidates = F.array(clean, *[F.when(d.isNotNull(), F.concat_ws(" | ", clean, d)) for d in longer])
+    rows = df.withColumn("_base", label(*[F.col(c) for c in base])).withColumns({
+        "_scope": F.struct(*[F.col(c) for c in scope or []], F.lit(0).cast("byte").alias("_all")),
+        "_tiers": F.array_distinct(F.filter(candidates, lambda c: c.isNotNull()))})
+    rows = with_position(rows, order, "_pos")
+
+    claims = rows.select("_scope", F.col("_base").alias("label"), "_pos", F.lit(0).alias("_at"), F.lit(False).alias("_numbered"))
+    log, later, rest, numbers = [], [], [], None
+    while True:
+        # named candidates, until no row loses one
+        while True:
+            lost = materialize(_lost(claims, log), "lost-labels")
+            log.append(claims)
+            if lost.isEmpty():
+                break
+            moved = lookup(lost.select("_pos", "_at").withColumn("_at", F.col("_at") + 1), _rows_of(rows, lost), ["_pos"])
+            moved = materialize(moved, "moved-labels")
+            more = F.col("_at") < F.size("_tiers")
+            claims = moved.where(more).select(
+                "_scope", F.element_at("_tiers", F.col("_at") + 1).alias("label"), "_pos", "_at", F.lit(False).alias("_numbered"))
+            rest.append(moved.where(~more).select(*_GROUP, "_pos"))
+            later.append(claims)
+        if not rest:
+            break
+        numbers, taken = _numbered(_all(rest), log)
+        if taken is None:
+            break
+        # a row of another base may just have been overtaken by a number
+        claims = materialize(taken.join(_all(log).where("_numbered").select(*_LABEL, "_pos"), [*_LABEL, "_pos"], "left_anti"), "numbered-labels")
+        if claims.isEmpty():
+            break
+
+    if numbers is not None:
+        later.append(numbers.select("_pos", F.lit(1 << 30).alias("_at"), "label"))
+    if later:
+        last = _all([part.select("_pos", "_at", "label") for part in later]).groupBy("_pos").agg(F.max_by("label", "_at").alias("_last"))
+        rows = lookup(rows, last, ["_pos"])
+    else:
+        rows = rows.withColumn("_last", F.lit(None).cast("string"))
+    return rows.select(*df.columns, F.coalesce("_last", "_base").alias("label"))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rows_of(rows: DataFrame, some: DataFrame) -> DataFrame:
+    return keep_keys(rows.select("_pos", "_scope", "_base", "_tiers"), some, ["_pos"])
+
+
+def _lost(claims: DataFrame, log: list[DataFrame]) -> DataFrame:
+    """Claims that lose their label: new ones that come too late, and the one that has it if a new one is earlier.
+
+    Numbered rows are not listed, as all numbers of their base are given out anew.
     """
-    scope = scope or []
-    group = [*scope, "_base"]
-    place = F.struct(*order)
-    tiers = [f"_d{i}" for i in range(len(disambiguators))]
-    rows = df.withColumns(
-        {"_base": label(*[F.col(c) for c in base]), "_place": place}
-        | {t: F.nullif(clean_text(F.col(d)), F.lit("")) for t, d in zip(tiers, disambiguators)}
-    )
-    rows = materialize(rows, "labels")
-    first = rows.groupBy(*group).agg(F.min("_place").alias("_first"))
-    rows = _attach(rows, first, group)
-    later = rows.where(F.col("_place") > F.col("_first")).select(*group, "_place", *tiers)
-
-    takers = _takers(later, tiers[:1], None, group)
-    if len(tiers) > 1:
-        # only labels asked for before the last tier decide who goes on to a later tier
-        deciding = [later.select(*group, F.col(t).alias("_value")) for t in tiers[:-1]]
-        deciding = reduce(DataFrame.unionByName, deciding).distinct()
-        settled = False
-        while not settled:
-            again = materialize(_takers(later, tiers, takers, group), "takers")
-            settled = _only(again, deciding, [*group, "_value"]).subtract(takers).isEmpty()
-            takers = again
-
-    taken_by = _with_takers(rows, tiers, takers, group)
-    choice = F.when(F.col("_place") == F.col("_first"), F.col("_base"))
-    for tier in tiers:
-        choice = choice.when(
-            F.col(f"_by{tier}") == F.col("_place"), F.concat_ws(" | ", "_base", tier)
-        )
-    labelled = taken_by.withColumn("label", choice).select(*df.columns, "_base", "label")
-    done = labelled.where(F.col("label").isNotNull()).select(*df.columns, "label")
-    ranked = with_group_position(labelled.where(F.col("label").isNull()), group, order, "_k")
-    numbered = F.concat(F.col("_base"), F.lit(" (#"), (F.col("_k") + 2).cast("string"), F.lit(")"))
-    return done.unionByName(ranked.withColumn("label", numbered).select(*df.columns, "label"))
-
-
-def _attach(rows: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
-    """Lookup that also matches null scope values."""
-    other = fresh_keys(per_group, keys).withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    same: Column = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    )
-    return rows.join(other, same, "left").drop(*[f"_r_{k}" for k in keys])
-
-
-def _only(rows: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key occurs in ``keys_of``, null scope values included."""
-    other = keys_of.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    return rows.join(other, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], "left_semi")
-
-
-def _with_takers(rows: DataFrame, tiers: list[str], takers: DataFrame, group: list[str]) -> DataFrame:
-    """For each tier the place of the row that takes its label."""
-    for tier in tiers:
-        by = takers.select(*group, F.col("_value").alias(tier), F.col("_taker").alias(f"_by{tier}"))
-        rows = _attach(rows, by, [*group, tier])
-    return rows
-
-
-def _takers(later: DataFrame, tiers: list[str], takers: DataFrame | None, group: list[str]) -> DataFrame:
-    """Earliest row asking for each label, given the takers known so far.
-
-    A row asks for tier i when all earlier tiers are blank or were taken before it.
+    now = claims.groupBy(*_LABEL).agg(F.min("_pos").alias("_now"))
+    if not log:
+        return lookup(claims, now, _LABEL).where(F.col("_pos") > F.col("_now")).select(*_CLAIM)
+    before = keep_keys(_all(log), claims, _LABEL)
+    had = before.groupBy(*_LABEL).agg(F.min("_pos").alias("_had"))
+    state = lookup(now, had, _LABEL)
+    late = lookup(claims, state, _LABEL).where(F.col("_pos") > F.least("_now", "_had"))
+    overtaken = before.join(state.where(F.col("_now") < F.col("_had")).select(*_LABEL, F.col("_had").alias("_pos")), [*_LABEL, "_pos"])
+    return late.select(*_CLAIM).unionByName(overtaken.select(*_CLAIM)).where(~F.col("_numbered"))
+
+
+def _numbered(rest: DataFrame, log: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """Labels ``base (#n)`` of the rows without another (``_pos, label``), and claims for those that named rows asked
+    for, None if there are none."""
+    ranked = materialize(with_group_position(rest, _GROUP, ["_pos"], "_rank"), "ranked-labels")
+    asked = _asked(ranked, log)
+    taken = None
+    if not asked.isEmpty():
+        asked, taken = _left_out(ranked, asked)
+        # a number left out stands before the rows that move on to the next one
+        out = asked.where("_out").select(*_GROUP, (F.col("_n") - 2 - F.col("_before")).alias("_rank"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_pos"))
+        both = ranked.select(*_GROUP, "_rank", F.lit(1).alias("_kind"), "_pos").unionByName(out)
+        ranked = with_group_position(both, _GROUP, ["_rank", "_kind"], "_place").where(F.col("_kind") == 1).select(
+            *_GROUP, "_pos", F.col("_place").alias("_rank"))
+    numbers = ranked.select("_pos", _number_label(F.col("_rank") + 2).alias("label"))
+    return materialize(numbers, "numbers"), taken
+
+
+def _number_label(n):
+    return F.concat(F.col("_base"), F.lit(" (#"), n.cast("string"), F.lit(")"))
+
+
+def _asked(ranked: DataFrame, log: list[DataFrame]) -> DataFrame:
+    """``_scope, _base, _n, _by``: labels ``base (#n)`` of bases with numbered rows that named rows asked for first."""
+    # more digits than any count of rows has are no number
+    form = r"(?s)^(.*) \(#([1-9][0-9]{0,17})\)$"
+    read = _all(log).where(~F.col("_numbered") & F.col("label").rlike(form)).select(
+        "_scope", F.regexp_extract("label", form, 1).alias("_base"), F.regexp_extract("label", form, 2).cast("long").alias("_n"), "_pos")
+    return materialize(keep_keys(read.where(F.col("_n") >= 2), ranked, _GROUP).groupBy(*_GROUP, "_n").agg(
+        F.min("_pos").alias("_by")), "asked-numbers")
+
+
+def _left_out(ranked: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which of the asked numbers are left out (``_out``), and how many of those come before each (``_before``); and
+    the claims of numbered rows for the others.
+
+    A number is left out if the row whose turn it would be is later than the one that asked. Turns depend on the
+    numbers left out before, so this repeats until nothing changes: at first for the least number of each base.
     """
-    known = later if takers is None else _with_takers(later, tiers[:-1], takers, group)
-    asks, reached = [], F.lit(True)
-    for tier in tiers:
-        asks.append(F.when(reached, F.col(tier)))
-        if takers is not None:
-            lost = F.coalesce(F.col(f"_by{tier}") < F.col("_place"), F.lit(False)) if tier != tiers[-1] else F.lit(False)
-            reached = reached & (F.col(tier).isNull() | lost)
-    asked = known.select(*group, "_place", F.explode(F.array(*asks)).alias("_value"))
-    return (
-        asked.where(F.col("_value").isNotNull())
-        .groupBy(*group, "_value").agg(F.min("_place").alias("_taker"))
-    )
+    asked = asked.withColumn("_out", F.lit(False))
+    while True:
+        place = with_group_position(asked, _GROUP, ["_n"], "_place")
+        # how many of the left out come before: all before less those that stay
+        stay = with_group_position(asked.where(~F.col("_out")), _GROUP, ["_n"], "_stay").select(*_GROUP, "_n", "_stay")
+        out = with_group_position(asked.where("_out"), _GROUP, ["_n"], "_gone").select(*_GROUP, "_n", "_gone")
+        counted = lookup(lookup(place, stay, [*_GROUP, "_n"]), out, [*_GROUP, "_n"])
+        counted = counted.select(*_GROUP, "_n", "_by", "_out", F.coalesce("_gone", F.col("_place") - F.col("_stay")).alias("_before"))
+        turn = counted.withColumn("_rank", F.col("_n") - 2 - F.col("_before"))
+        turn = lookup(turn, ranked.withColumnRenamed("_pos", "_turn"), [*_GROUP, "_rank"])
+        now = F.coalesce(F.col("_by") < F.col("_turn"), F.lit(False))
+        turn = materialize(turn.withColumn("_now", now), "numbers-left-out")
+        if turn.where(F.col("_now") != F.col("_out")).isEmpty():
+            taken = turn.where(~F.col("_out") & F.col("_turn").isNotNull()).select(
+                "_scope", _number_label(F.col("_n")).alias("label"), F.col("_turn").alias("_pos"), F.lit(0).alias("_at"),
+                F.lit(True).alias("_numbered"))
+            return turn, taken
+        asked = turn.select(*_GROUP, "_n", "_by", F.col("_now").alias("_out"))

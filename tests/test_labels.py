@@ -1,5 +1,7 @@
 """Unique labels and numbering against the one-row-at-a-time rule."""
 
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -52,6 +54,51 @@ def test_labels(spark, rows):
     assert labels_of(spark, rows) == one_by_one(rows)
 
 
+WORDS = ["A", "B", "A | B", "A (#2)", "A (#3)", "A | B (#2)", "B | A", "(#2)", "A (#2) (#2)", "A (#02)", None]
+VALUES = ["B", "A", "B (#2)", "(#2)", "A | B", " ", None]
+
+
+def test_labels_across_bases(spark):
+    """Many small scopes at once, with separators and numbers inside base labels and values."""
+    draw = random.Random(6)
+    cases = [[(draw.choice(WORDS[: draw.randrange(2, 12)]), (draw.choice(VALUES), draw.choice(VALUES)))
+              for _ in range(draw.randrange(1, 22))] for _ in range(400)]
+    data = [(n * 1000 + i, None if n == 0 else f"s{n}", b, *v) for n, rows in enumerate(cases) for i, (b, v) in enumerate(rows)]
+    df = spark.createDataFrame(draw.sample(data, len(data)), "n bigint, scope string, b string, d1 string, d2 string")
+    got = unique_labels(df, ["b"], ["d1", "d2"], ["n"], ["scope"]).orderBy("n").collect()
+    assert [r.label for r in got] == [label for rows in cases for label in one_by_one(rows)]
+    assert len({(r.scope, r.label) for r in got}) == len(got)
+
+
+def test_labels_found_not_unique_before(spark):
+    rows = [("A | B", ("C", None)), ("A | B", ("Q", None)), ("A | B | Q", (None, None)), ("A | B", ("Q", None)), ("A | B (#2)", (None, None))]
+    assert labels_of(spark, rows) == one_by_one(rows)
+    assert len(set(labels_of(spark, rows))) == 5
+
+
+def test_numbers_that_other_bases_hold(spark):
+    # every second number of the hot base is the base of a row, before, between or after the rows that are numbered
+    rows = [(f"P (#{2 * k})", (None, None)) for k in range(1, 12)] + [("P", (None, None))] * 30
+    rows += [(f"P (#{k})", ("x", "y")) for k in (3, 5, 38, 44, 45, 46, 47)] + [("P", (None, None))] * 6
+    assert labels_of(spark, rows) == one_by_one(rows)
+    mixed = random.Random(8).sample(rows, len(rows))
+    assert labels_of(spark, mixed) == one_by_one(mixed)
+
+
+def test_hot_base_and_hot_label_are_not_gathered(spark):
+    """A third of the rows share a base, a third ask for one longer label; no window runs over such a group."""
+    n = 6000
+    base = F.when(F.col("id") % 3 == 0, "P").when(F.col("id") % 3 == 1, F.concat(F.lit("Q"), F.col("id") % 2)).otherwise(
+        F.concat(F.lit("P (#"), (F.col("id") % 50).cast("string"), F.lit(")")))
+    value = F.when(F.col("id") % 2 == 0, "v")
+    df = spark.range(n).select("id", F.lit("w").alias("w"), base.alias("b"), value.alias("d"))
+    got = unique_labels(df, ["b"], ["d"], ["id"], ["w"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect" not in plan and all("_part" in line for line in plan.splitlines() if "windowspecdefinition" in line)
+    rows = got.orderBy("id").collect()
+    assert [r.label for r in rows] == one_by_one([(r.b, (r.d,)) for r in rows])
+
+
 def test_labels_of_one_hot_group(spark):
     df = spark.range(3000).select("id", F.lit("w").alias("w"), F.lit("P").alias("b"), F.lit("q").alias("d"))
     got = unique_labels(df, ["b"], ["d"], ["id"], ["w"])
