@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
@@ -19,14 +20,17 @@ _loaded: dict[bytes, FileTokenizer] = {}
 
 
 class FileTokenizer:
-    """Ids without special tokens; the strings of special tokens in a text are ordinary text."""
+    """Ids as the library gives them with ``add_special_tokens=False``.
+
+    The strings of added tokens in a text are those tokens, which is the library's default.
+    """
 
     def __init__(self, content: bytes) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content.decode())
-        self.tokenizer.encode_special_tokens = True
+        self.added, self.apart = _added_tokens(json.loads(content))
         self.model = self.tokenizer.model
         self.space, self.lower = _letters_only(json.loads(content))
         self.parts = PartEncoder(self._ids)
@@ -58,7 +62,41 @@ class FileTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text counts as empty."""
-        return self.parts.encode(texts)
+        if self.added is None:
+            return self.parts.encode(texts)
+        # the library takes added tokens out first, and what stands between them goes through the other steps alone
+        stretches: list[str | None] = []
+        owners: list[tuple[int, bytes | None]] = []  # the text, and the ids of an added token
+        for at, text in enumerate(texts):
+            if text and self.added.search(text):
+                if not self.apart:
+                    owners.append((at, as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)))
+                    continue
+                for place, stretch in enumerate(self.added.split(text)):
+                    if place % 2:
+                        owners.append((at, as_bytes([self.tokenizer.token_to_id(stretch)])))
+                    else:
+                        owners.append((at, None))
+                        stretches.append(stretch)
+            else:
+                owners.append((at, None))
+                stretches.append(text)
+        encoded = iter(self.parts.encode(stretches))
+        out: list[list[bytes]] = [[] for _ in texts]
+        for at, ids in owners:
+            out[at].append(next(encoded) if ids is None else ids)
+        return [b"".join(ids) for ids in out]
+
+
+def _added_tokens(spec: dict) -> tuple[re.Pattern | None, bool]:
+    """A pattern of the added tokens' strings (longest first), and whether all of them are found in the text as it
+    stands, wherever they stand and without the white space around them."""
+    added = spec.get("added_tokens") or []
+    if not added:
+        return None, True
+    names = sorted((token["content"] for token in added), key=len, reverse=True)
+    apart = not any(token[flag] for token in added for flag in ("single_word", "lstrip", "rstrip", "normalized"))
+    return re.compile("(" + "|".join(map(re.escape, names)) + ")"), apart
 
 
 def _letters_only(spec: dict) -> tuple[str | None, bool]:

@@ -31,4 +31,5 @@ def edge_rows():
     """Null, empty, blank and very long texts, ties and repeated rows."""
     long = " ".join(words(60_000, 1))
     return [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (4, "one"), (5, "one"), (None, "one"), (None, None),
-            (6, long), (7, long), (8, "x" * 200_000), (9, "été Über 'tis don't 😀 \u0130stanbul"), (10, "\u3000 a\u0301 \xa0")]
+            (6, long), (7, long), (8, "x" * 200_000), (9, "été Über 'tis don't 😀 \u0130stanbul"), (10, "\u3000 a\u0301 \xa0"),
+            (11, "a <|endoftext|> b<|endoftext|>c")]

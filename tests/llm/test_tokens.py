@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import json
 import random
 import zlib
 
@@ -19,7 +20,7 @@ from quotewright.llm.queries import QUERIES
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 PIECES = ["a", "b", " ", "  ", "\n", "'s", "'", "1", "é", "ß", "...", ".", ",", "|", "\t", "\x1c", "\u3000", "\xa0", "don't",
-          "😀", "\r\n", "Σ", "\u0130", "\u0301", "ª", "\u0958", "<|endoftext|>", " Été", " w.\n"]
+          "😀", "\r\n", "Σ", "\u0130", "\u0301", "ª", "\u0958", "<|endoftext|>", " Été", " w.\n", "<|startoftext|>", "<|endoftext|", "|>"]
 texts = st.lists(st.sampled_from(PIECES), max_size=14).map("".join) | st.text(max_size=20)
 
 
@@ -44,8 +45,7 @@ def test_tiktoken_parts(plain, some):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_tokenizers_parts(name):
-    whole = Tokenizer.from_file(P.path(name))
-    whole.encode_special_tokens = True
+    whole = Tokenizer.from_file(P.path(name))  # as the library comes
     ours = FileTokenizer.of(content(P.path(name)))
     draw = random.Random(3)
     some = ["".join(draw.choice(PIECES) for _ in range(draw.randrange(14))) for _ in range(4000)]
@@ -55,6 +55,24 @@ def test_tokenizers_parts(name):
         assert ours.encode(some[at : at + 500]) == want[at : at + 500]
 
 
+@pytest.mark.parametrize("name,id_", [("byte_bpe_50k.json", 50256), ("word_bpe_49k.json", 49407)])
+def test_added_tokens(name, id_):
+    whole, ours = Tokenizer.from_file(P.path(name)), FileTokenizer.of(content(P.path(name)))
+    some = ["a <|endoftext|> b", "<|endoftext|>", "word<|endoftext|>word, <|endoftext|><|endoftext|>", "a  <|endoftext|>  b.<|endoftext|>\n",
+            " <|endoftext", "<|endoftext|>'s don<|endoftext|>'t", "é\u0301<|endoftext|>\u0301", "x " * 3000 + "<|endoftext|>" + " y" * 3000]
+    assert ours.encode(some) == [as_bytes(whole.encode(t, add_special_tokens=False).ids) for t in some]
+    assert ours.encode(["<|endoftext|>"]) == [as_bytes([id_])]
+
+
+def test_added_tokens_that_take_white_space():
+    spec = json.loads(content(P.path("byte_bpe_50k.json")))
+    spec["added_tokens"][0] |= {"lstrip": True, "rstrip": True}
+    text = json.dumps(spec)
+    whole, ours = Tokenizer.from_str(text), FileTokenizer(text.encode())
+    some = ["a <|endoftext|> b c", "plain text", None, "<|endoftext|>\n x"]
+    assert ours.encode(some) == [as_bytes(whole.encode(t or "", add_special_tokens=False).ids) for t in some]
+
+
 def test_round_trip(spark, plain):
     rows = edge_rows()
     df = docs(spark, rows)
@@ -73,9 +91,11 @@ def test_round_trip(spark, plain):
 
 
 def test_op2_query(spark, plain):
-    got = {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in QUERIES["op2_byte_bpe"](spark, "/root/testdata/sf0.001").collect()}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in QUERIES["op2_byte_bpe"](spark, "/root/testdata/sf0.001").collect()}
     for r in table("documents", "/root/testdata/sf0.001"):
-        assert got.pop(r["doc_id"]) == (len(plain.encode_ordinary(r["text"])), hashlib.sha256(r["text"].encode()).hexdigest())
+        ids = plain.encode_ordinary(r["text"])
+        assert got.pop(r["doc_id"]) == (
+            len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest())
     assert not got
 
 
@@ -118,7 +138,6 @@ def test_fill_has_the_least_slack(counts):
 
 def check_packed(rows, df, path):
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     got = df.collect()
     pieces = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["doc_tokens"], r["start"], r["length"], r["ids_crc32"]) for r in got)
     want = []
@@ -171,7 +190,6 @@ def test_wavelet_matrix(ids):
 
 def check_files(rows, df):
     whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    whole.encode_special_tokens = True
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     start, want = 0, []
     for i, t in rows:
