@@ -4,7 +4,8 @@ Both cut the same bytes, a space and the text. Places where a token of either en
 the tokens of one group are linked with each other. How many documents link two ids tells which id of the other
 vocabulary stands for an id.
 
-Spans come from the libraries: character offsets of the first tokenizer, byte spans of the second one's proto.
+Spans come from the libraries: character offsets of the first tokenizer, and of the second one the spans of its
+proto, as the offset mapping that the library derives from it (its immutable proto is no longer offered).
 They are coarse where several tokens share a character (its bytes, or byte-fallback tokens): such a run of tokens
 is divided by the lengths of their decoded bytes.
 
@@ -21,8 +22,7 @@ import json
 import os
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
-from itertools import accumulate
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,43 +33,61 @@ from ..operators.joins import lookup
 from ..session import materialize
 from .common import prepare
 from .hf import _VISIBLE, send
-from .parts import CHARS, MOST, cut
+from .parts import CHARS, cut
 
 #: Pairs of ids whose counts are broadcast, at most.
 FREQUENT = 1 << 18
 
+#: Words that a worker remembers beyond one batch, at most, and those that it encodes together.
+MOST, JOINED = 500_000, 1024
+#: Links of a group from which equal ids are counted, not listed.
+MANY = 256
 #: The two ids of a pair in one number.
 SHIFT = 32
 
 
-@dataclass(slots=True)
-class Aligned:
-    """One word with its space, or a stretch of them."""
+class Rows:
+    """Rows of numbers to which more are added, and taken off again, at the end."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str  # a1,a2|b1;a3|b2,b3
-    pairs: tuple[tuple[int, int], ...] | dict[int, int]  # links by pair of ids
-    odd: tuple[bytes, bytes] | None  # the decoded bytes, where they are not those of the word
+    def __init__(self, columns: int) -> None:
+        self.size, self._held = 0, np.zeros((1024, columns), np.int64)
 
+    @property
+    def held(self) -> np.ndarray:
+        return self._held[: self.size]
 
-def ends_of(lengths: list[int], spans: list[tuple[int, int]]) -> list[int]:
-    """Where tokens end, in bytes, from their coarse byte spans and the lengths of their decoded bytes.
+    def add(self, more: np.ndarray) -> None:
+        need = self.size + len(more)
+        if need > len(self._held):
+            self._held = np.concatenate([self.held, np.zeros((max(need, 2 * self.size) - self.size, self._held.shape[1]), np.int64)])
+        self._held[self.size : need] = more
+        self.size = need
+
+
+def ends_of(lengths: np.ndarray, spans: np.ndarray, byte_at: np.ndarray | None) -> np.ndarray:
+    """Where tokens end, in bytes, from their spans in characters and the lengths of their decoded bytes.
 
     A span that ends behind the one before it, and where the next one starts, ends a token there. Between such
-    places the decoded lengths divide the bytes.
+    places, which is where tokens share a character, the decoded lengths divide the bytes. ``byte_at`` gives the byte
+    where a character starts, if some have several bytes.
     """
-    ends: list[int] = []
-    at = 0
-    for place, (_, end) in enumerate(spans):
-        at += lengths[place]
-        clear = end > (spans[place - 1][1] if place else 0) and (place + 1 == len(spans) or spans[place + 1][0] >= end)
-        if clear:
-            at = end
-        ends.append(at)
-    return ends
+    start, end = spans[:, 0], spans[:, 1]
+    clear = np.append(start[1:] >= end[:-1], True)
+    clear &= end > np.append(0, end[:-1])
+    coarse = end if byte_at is None else byte_at[end]
+    total = np.cumsum(lengths)
+    last = np.maximum.accumulate(np.where(clear, np.arange(len(end)), -1))
+    return total + np.where(last >= 0, coarse[last] - total[last], 0)
+
+
+def _spans(offsets: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
+
+
+def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + np.repeat(starts - before, sizes)
 
 
 class PairAligner:
@@ -86,10 +104,18 @@ class PairAligner:
         hidden = {chr(shown): byte for byte, shown in _VISIBLE.items()}
         as_byte = {chr(byte): byte for byte in range(256) if byte not in _VISIBLE} | hidden
         names = {number: name for name, number in json.loads(spec)["model"]["vocab"].items()}
-        self.bytes_a = {number: bytes(as_byte[c] for c in name) for number, name in names.items() if as_byte.keys() >= set(name)}
+        plain = {number: bytes(as_byte[c] for c in name) for number, name in names.items() if as_byte.keys() >= set(name)}
+        self.bytes_a = [plain.get(number, b"") for number in range(max(names) + 1)]
         self.bytes_b = [self._piece(number) for number in range(self.b.vocab_size())]
+        self.lengths_a, self.lengths_b = (np.array([len(x) for x in side]) for side in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id("▁")
-        self.memo: dict[str, Aligned] = {}
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.shown = [str(number) + mark for number in range(most) for mark in (",", "|", ";", "")]
+        # by the word without the space before it: its row in the others
+        self.words: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.sums = Rows(7)  # n_a, n_b, n_groups, n_links, odd, where its pairs start, how many there are
+        self.pairs = Rows(2)  # first id times the second vocabulary's size and second id, links
 
     def _piece(self, number: int) -> bytes:
         piece = self.b.id_to_piece(number)
@@ -97,92 +123,141 @@ class PairAligner:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def _align(self, word: str, encoding, proto) -> Aligned:
-        """``word`` without the space before it; ``encoding`` is that of the space and the word."""
-        whole = b" " + word.encode()
-        ids_a = encoding.ids
-        decoded_a = [self.bytes_a.get(number, b"") for number in ids_a]
-        spans_a = encoding.offsets
-        if len(whole) > len(word) + 1:  # characters of several bytes
-            at = [0, *accumulate(len(c.encode()) for c in " " + word)]
-            spans_a = [(at[start], at[end]) for start, end in spans_a]
-        if proto is None:  # a single space at the end of a text
-            ids_b, spans_b = [self.space], [(0, 1)]
+    def _learn(self, words: list[str]) -> None:
+        """Remember words that are encoded together, with a space before each; each must end in none."""
+        text = " " + " ".join(words)
+        whole = text.encode()
+        a = self.a.encode(text, add_special_tokens=False)
+        ids_a, spans_a = np.array(a.ids, np.int64), _spans(a.offsets)
+        if text == " ":
+            ids_b, spans_b = np.array([self.space]), np.array([[0, 1]])
         else:
-            ids_b = [piece.id for piece in proto.pieces]
-            # the library adds the space: all spans move by one, the first token starts with it
-            spans_b = [(piece.begin + 1 if place else 0, piece.end + 1) for place, piece in enumerate(proto.pieces)]
-        decoded_b = [self.bytes_b[number] for number in ids_b]
-        joined = b"".join(decoded_a), b"".join(decoded_b)
-        if joined != (whole, whole):
-            return Aligned(len(ids_a), len(ids_b), 0, 0, "", (), joined)
-        ends_a, ends_b = ends_of([*map(len, decoded_a)], spans_a), ends_of([*map(len, decoded_b)], spans_b)
-        groups, pairs, links = [], Counter(), 0
-        common = sorted(set(ends_a).intersection(ends_b))
-        i = j = 0
-        for end in common:
-            k, m = i, j
-            while k < len(ends_a) and ends_a[k] <= end:
-                k += 1
-            while m < len(ends_b) and ends_b[m] <= end:
-                m += 1
-            some_a, some_b = ids_a[i:k], ids_b[j:m]
-            groups.append(",".join(map(str, some_a)) + "|" + ",".join(map(str, some_b)))
-            links += len(some_a) * len(some_b)
-            if k - i == m - j == 1:
-                pairs[some_a[0] << SHIFT | some_b[0]] += 1
+            b = self.b.encode_as_offset_mapping(text[1:])
+            # the library adds the space, so spans move by one; the first token starts with it
+            ids_b, spans_b = np.array(b["ids"], np.int64), _spans(b["offsets"]) + 1
+            spans_b[0, 0] = 0
+        list_a, list_b = ids_a.tolist(), ids_b.tolist()
+        if not (b"".join(map(self.bytes_a.__getitem__, list_a)) == b"".join(map(self.bytes_b.__getitem__, list_b)) == whole):
+            if len(words) > 1:
+                for word in words:
+                    self._learn([word])
             else:
-                times = Counter(some_b)
-                for x, n in Counter(some_a).items():
-                    for y, t in times.items():
-                        pairs[x << SHIFT | y] += n * t
-            i, j = k, m
-        return Aligned(len(ids_a), len(ids_b), len(groups), links, ";".join(groups), tuple(pairs.items()), None)
-
-    def _learn(self, new: list[str]) -> None:
-        encodings = self.a.encode_batch([" " + word for word in new], add_special_tokens=False)
-        for word, encoding in zip(new, encodings):
-            proto = self.b.encode(word, return_type="proto") if word else None
-            self.memo[word] = self._align(word, encoding, proto)
-
-    def align(self, texts: list[str | None]) -> list[tuple[Aligned | None, list[str]]]:
-        """Sums over each text, its ``pairs`` as a dictionary, and its groups word by word.
-
-        None for a text that is null or empty, or that the tokens of either do not give back.
+                self._add(words, np.array([[0, 0, 0, 0, 1, self.pairs.size, 0]]), [""], np.zeros((0, 2), np.int64))
+            return
+        byte_at = None
+        if len(whole) > len(text):  # characters of several bytes
+            points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            byte_at = np.append(0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))
+        ends_a = ends_of(self.lengths_a[ids_a], spans_a, byte_at)
+        ends_b = ends_of(self.lengths_b[ids_b], spans_b, byte_at)
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        in_a, in_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+        links = in_a * in_b
+        # words by where they end
+        word_ends = np.cumsum([len(word) + 1 for word in words])
+        if byte_at is not None:
+            word_ends = byte_at[word_ends]
+        word = np.searchsorted(word_ends, common)
+        count = lambda values: np.bincount(word, values, len(words)).astype(np.int64)
+        first_b = np.cumsum(in_b) - in_b
+        small = links <= MANY
+        of_a = np.flatnonzero(small[group_a])
+        times = in_b[group_a[of_a]]
+        pair = np.repeat(ids_a[of_a], times) * len(self.bytes_b) + ids_b[_flat(first_b[group_a[of_a]], times)]
+        owner = np.repeat(word[group_a[of_a]], times)
+        rows = np.stack([pair, np.ones(len(pair), np.int64)], axis=1)
+        for group in np.flatnonzero(~small):  # equal ids of a large group at once
+            times_b = Counter(ids_b[group_b == group].tolist())
+            more = [(x * len(self.bytes_b) + y, n * t) for x, n in Counter(ids_a[group_a == group].tolist()).items() for y, t in times_b.items()]
+            rows, owner = np.concatenate([rows, more]), np.append(owner, np.full(len(more), word[group]))
+        order = np.argsort(owner, kind="stable")
+        sizes = np.bincount(owner, minlength=len(words))
+        sums = np.stack([count(in_a), count(in_b), count(None), count(links), np.zeros(len(words), np.int64),
+                         self.pairs.size + np.cumsum(sizes) - sizes, sizes], axis=1)
+        # ids in the order of the groups, the first tokenizer's before the second's, each with what follows it
+        place = np.argsort(np.append(group_a * 2, group_b * 2 + 1), kind="stable")
+        side = np.append(group_a * 2, group_b * 2 + 1)[place]
+        following = np.append(side[1:], -1)
+        mark = np.where(following == side, 0, np.where(following >> 1 == side >> 1, 1, 2))
+        of_word = word[side >> 1]
+        mark[np.append(of_word[1:] != of_word[:-1], True)] = 3
+        shown = [self.shown[k] for k in (np.append(ids_a, ids_b)[place] * 4 + mark).tolist()]
+        stops = np.cumsum(np.bincount(of_word, minlength=len(words))).tolist()
+        listed = ["".join(shown[start:stop]) for start, stop in zip([0, *stops], stops)]
+        self._add(words, sums, listed, rows[order])
+
+    def _add(self, words: list[str], sums: np.ndarray, groups: list[str], pairs: np.ndarray) -> None:
+        for word in words:
+            self.words[word] = len(self.words)
+        self.groups += groups
+        self.sums.add(sums)
+        self.pairs.add(pairs)
+
+    def _learn_all(self, new: list[str]) -> int:
+        """Remember all of these; the number of words up to the last one that is worth keeping."""
+        new.sort(key=lambda word: len(word) > CHARS)
+        short = sum(len(word) <= CHARS for word in new)
+        keep = len(self.words) + short
+        for some in (new[:short], new[short:]):
+            # a space behind white space is no place to cut
+            joinable = [word for word in some if word and not word[-1].isspace()]
+            for at in range(0, len(joinable), JOINED):
+                self._learn(joinable[at : at + JOINED])
+            for word in some:
+                if not word or word[-1].isspace():
+                    self._learn([word])
+        return keep
+
+    def _forget(self, keep: int) -> None:
+        if keep < len(self.words):
+            self.pairs.size = int(self.sums.held[keep, 5])
+            self.sums.size = keep
+            del self.groups[keep:]
+            for word in list(islice(reversed(self.words), len(self.words) - keep)):
+                del self.words[word]
+
+    def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text ``n_a, n_b, n_groups, n_links`` and its groups; then pairs of ids, their links, and how many
+        pairs each text has.
+
+        Nothing but zeros and empty texts for a text that is null or empty, or that the tokens of either do not give back.
         """
-        memo = self.memo
         cuts = []
         for text in texts:
             head, words = cut(text or "")
             cuts.append([head, *words] if text else [])
-        new = set().union(*cuts).difference(memo)
-        self._learn(list(new))
-        out = []
-        for text, words in zip(texts, cuts):
-            n_a = n_b = n_groups = n_links = 0
-            pairs: dict[int, int] = {}
-            odd = False
-            for word, times in Counter(words).items():
-                one = memo[word]
-                odd |= one.odd is not None
-                n_a += times * one.n_a
-                n_b += times * one.n_b
-                n_groups += times * one.n_groups
-                n_links += times * one.n_links
-                for pair, links in one.pairs:
-                    pairs[pair] = pairs.get(pair, 0) + times * links
-            if odd:  # the bytes of single words do not give the text: look at it whole
-                one = self._align(text, self.a.encode(" " + text, add_special_tokens=False), self.b.encode(text, return_type="proto"))
-                out.append((None, []) if one.odd else (replace(one, groups="", pairs=dict(one.pairs)), [one.groups]))
-            elif words:
-                out.append((Aligned(n_a, n_b, n_groups, n_links, "", pairs, None), [memo[word].groups for word in words]))
-            else:
-                out.append((None, []))
-        full = len(memo) > MOST // 3
-        for word in new:
-            if full or len(word) > CHARS:
-                del memo[word]
-        return out
+        before = len(self.words)
+        keep = self._learn_all(list(set().union(*cuts).difference(self.words)))
+        known = [list(map(self.words.__getitem__, words)) for words in cuts]
+        odd = set(np.flatnonzero(self.sums.held[:, 4]).tolist())
+        for at, words in enumerate(known if odd else []):
+            if not odd.isdisjoint(words):
+                # bytes of single words do not give the text: look at it whole
+                if texts[at] not in self.words:
+                    self._learn([texts[at]])
+                known[at] = [self.words[texts[at]]]
+        rows = np.fromiter(chain.from_iterable(known), np.int64)
+        text_of = np.repeat(np.arange(len(texts)), [len(words) for words in known])
+        # each word once for each text
+        both, times = np.unique(text_of * max(1, len(self.words)) + rows, return_counts=True)
+        text_of, rows = both // max(1, len(self.words)), both % max(1, len(self.words))
+        sums = self.sums.held[rows]
+        numbers = np.stack([np.bincount(text_of, sums[:, k] * times, len(texts)) for k in range(4)], axis=1).astype(np.int64)
+        pair, links = self.pairs.held[_flat(sums[:, 5], sums[:, 6])].T
+        links = links * np.repeat(times, sums[:, 6])
+        wide = len(self.bytes_a) * len(self.bytes_b)
+        key = np.repeat(text_of, sums[:, 6]) * wide + pair
+        order = np.argsort(key)
+        key, links = key[order], links[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        key, links = key[first], np.add.reduceat(links, first) if len(first) else links
+        pair = key % wide
+        pair = pair // len(self.bytes_b) << SHIFT | pair % len(self.bytes_b)
+        listed = [";".join(map(self.groups.__getitem__, words)) for words in known]
+        found = numbers, listed, pair, links, np.bincount(key // wide, minlength=len(texts))
+        self._forget(before if len(self.words) > MOST else keep)
+        return found
 
 
 _aligners: dict[bytes, PairAligner] = {}
@@ -214,21 +289,13 @@ def align_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(spec.value, model.value)
         for batch in batches:
-            counts, groups, pairs, links, sizes = [], [], [], [], [0]
-            for one, listed in aligner.align(batch.column(1).to_pylist()):
-                counts.append((one.n_a, one.n_b, one.n_groups, one.n_links) if one else (0, 0, 0, 0))
-                text = ";".join(listed)
-                groups.append(hashlib.sha256(text.encode()).hexdigest() if digest and one else text)
-                if one:
-                    pairs += one.pairs
-                    links += one.pairs.values()
-                sizes.append(len(pairs))
-            numbers = np.array(counts, np.int64).reshape(-1, 4)
-            offsets = pa.array(sizes, pa.int32())
+            numbers, groups, pairs, links, sizes = aligner.align(batch.column(1).to_pylist())
+            if digest:
+                groups = [hashlib.sha256(listed.encode()).hexdigest() if listed else "" for listed in groups]
+            offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(numbers[:, k]) for k in range(4)], pa.array(groups, pa.string()),
-                 pa.ListArray.from_arrays(offsets, pa.array(pairs, pa.int64())),
-                 pa.ListArray.from_arrays(offsets, pa.array(links, pa.int64()))],
+                 pa.ListArray.from_arrays(offsets, pa.array(pairs)), pa.ListArray.from_arrays(offsets, pa.array(links))],
                 ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "links"])
 
     kind = docs.schema[id_col].dataType.simpleString()

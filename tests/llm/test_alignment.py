@@ -5,6 +5,7 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -18,7 +19,7 @@ from quotewright.llm.queries import QUERIES
 
 A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 PIECES = ["a", "b", " ", "  ", "\n", "'s", "1", "é", "ß", "...", ".", ",", "\t", "\x1c", "　", "\xa0", "don't", "日本語", "語",
-          "😀", "🙂👍🏽", "\r\n", "İ", "́", "<|endoftext|>", "<s>", "</s>", "<unk>", "<0x41>", " Été", " w.\n", "Ａ", "▁", "\x00", "aaaaaaa"]
+          "😀", "🙂👍🏽", "\r\n", "İ", "́", "<|endoftext|>", "<s>", "</s>", "<unk>", "<0x41>", " Été", " w.\n", "Ａ", "▁", "\x00", "aaaaaaa", "s>", "k>", "\n", "\nThe", "x.\nY", "):", "5%", "a|b", "\n\n", "ÿ.", "a;\n"]
 texts = st.lists(st.sampled_from(PIECES), max_size=14).map("".join) | st.text(max_size=20)
 
 
@@ -87,14 +88,15 @@ def aligner():
 
 
 def check_texts(plain, aligner, some):
-    for text, (one, listed) in zip(some, aligner.align(some)):
+    numbers, listed, pairs, links, sizes = aligner.align(some)
+    ends = np.cumsum(sizes).tolist()
+    for at, text in enumerate(some):
         groups = plain.groups(text)
-        assert ";".join(listed) == ";".join(",".join(map(str, g[0])) + "|" + ",".join(map(str, g[1])) for g in groups)
-        if groups:
-            links = Counter(x << 32 | y for g in groups for x in g[0] for y in g[1])
-            assert (one.n_groups, one.n_links, one.pairs) == (len(groups), links.total(), dict(links))
-        else:
-            assert one is None
+        want = Counter(x << 32 | y for g in groups for x in g[0] for y in g[1])
+        part = slice(ends[at] - int(sizes[at]), ends[at])
+        assert listed[at] == ";".join(",".join(map(str, g[0])) + "|" + ",".join(map(str, g[1])) for g in groups)
+        assert numbers[at].tolist() == [sum(len(g[0]) for g in groups), sum(len(g[1]) for g in groups), len(groups), want.total()]
+        assert dict(zip(pairs[part].tolist(), links[part].tolist())) == dict(want)
 
 
 @settings(max_examples=300, deadline=None)
@@ -110,8 +112,20 @@ def test_many_texts(plain, aligner):
 
 
 def test_texts_whose_tokens_differ(plain, aligner):
-    assert aligner.align(["a▁b c", None, ""]) == [(None, [])] * 3
-    assert aligner.align(["a \U0001f9ec️ z"])[0][0].n_groups > 1
+    numbers, listed, pairs, _, sizes = aligner.align(["a▁b c", None, "", "a \U0001f9ec z"])
+    assert numbers[:3].tolist() == [[0] * 4] * 3 and listed[:3] == [""] * 3 and sizes[:3].tolist() == [0] * 3
+    assert numbers[3, 2] > 1 and len(pairs) == sizes[3]
+
+
+def test_memory_is_bounded(plain, aligner, monkeypatch):
+    monkeypatch.setattr(alignment, "MOST", len(aligner.words) + 30)
+    monkeypatch.setattr(alignment, "MANY", 2)
+    draw = random.Random(9)
+    for _ in range(30):
+        some = ["".join(draw.choice(PIECES + [" x" * 60, "y" * 99]) for _ in range(draw.randrange(14))) for _ in range(40)]
+        check_texts(plain, aligner, some)
+        assert len(aligner.words) <= alignment.MOST and len(aligner.groups) == aligner.sums.size == len(aligner.words)
+        assert aligner.pairs.size == aligner.sums.held[:, 6].sum()
 
 
 def of(df):
