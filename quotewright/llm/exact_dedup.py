@@ -51,7 +51,7 @@ def _compared(docs: DataFrame, id_col: str, text_col: str, largest: bool, with_r
         F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
         F.col(text_col).isNull().alias("_null"),
         F.struct(*[F.col(c) for c in others], F.lit(0).cast("byte").alias("_none")).alias("_row"),
-    ).withColumn("_sha", F.sha2("_text", 256))
+    ).withColumns({"_sha": F.sha2("_text", 256), "_number": F.monotonically_increasing_id()})
     slot_rows = max(32, docs.count() // (SLOTS_PER_TASK * parts))
     hot = (
         rows.groupBy("_sha").agg(F.count(F.lit(1)).alias("_n"))
@@ -60,9 +60,10 @@ def _compared(docs: DataFrame, id_col: str, text_col: str, largest: bool, with_r
     )
     dealt = (
         rows.join(F.broadcast(hot), "_sha", "left")  # at most SLOTS_PER_TASK * parts rows
-        .withColumn("_slot", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_slots")), F.lit(0)).cast("int"))
+        # by a number of each row: copies may share one id, or have none
+        .withColumn("_slot", F.coalesce(F.pmod(F.xxhash64("_number"), F.col("_slots")), F.lit(0)).cast("int"))
         .withColumn("_lead", F.substring("_text", 1, LEAD))
-        .repartitionByRange(parts, "_lead", "_sha", "_slot")
+        .drop("_number").repartitionByRange(parts, "_lead", "_sha", "_slot")
     )
     place = ["_lead", "_sha", "_slot"]
     by_id = F.desc_nulls_last("_id") if largest else F.asc_nulls_last("_id")
@@ -93,9 +94,11 @@ def _compared(docs: DataFrame, id_col: str, text_col: str, largest: bool, with_r
         .select(
             "_sha", "_slot", "_run",
             best("_best").over(equal).alias("_all_best"), F.sum("_n").over(equal).alias("_all_n"),
+            # slots may share their best id: one of them keeps it
+            (F.row_number().over(equal.orderBy(by_id, "_slot", "_run")) == 1).alias("_chosen"),
         )
     )
     whole = runs.join(F.broadcast(merged), ["_sha", "_slot", "_run"], "left")
     keep = F.when(F.col("_all_n").isNull(), F.col("_best")).otherwise(F.col("_all_best"))
     return whole.withColumns({
-        "_keep": keep, "_size": F.coalesce("_all_n", "_n"), "_kept": F.col("_head") & F.col("_id").eqNullSafe(keep)})
+        "_keep": keep, "_size": F.coalesce("_all_n", "_n"), "_kept": F.col("_head") & F.coalesce("_chosen", F.lit(True))})

@@ -4,7 +4,7 @@ import sys
 import public_tokenizers as P
 import pytest
 from compare import connect, difference
-from frames import SF, docs, edge_rows
+from frames import SF, docs, edge_rows, words
 from test_near_copies import expected as near_classes
 from test_secrets import expected as secrets_of
 from test_tokens import check_packed
@@ -61,14 +61,40 @@ def test_stage_edges(spark, place):
     for rows in (edge_rows(), []):
         df = docs(spark, rows)
         out = corpus_pipeline.STAGES[place][1](spark, df, SF)
+        found = out.collect()
         if place < 4:
             assert out.columns == df.columns
-        assert out.count() >= 0
+            assert {r["doc_id"] for r in found} <= {i for i, _ in rows}
+        if place == 1:
+            assert len(found) == len({t or "" for _, t in rows})
+        elif place == 2:
+            # one row of each text is left, that with the least id
+            assert sorted(((r["doc_id"], r["text"] or "") for r in found), key=str) == sorted(least_ids(rows), key=str)
+        elif place == 3:
+            assert sorted(((r["doc_id"], r["text"]) for r in found), key=str) == sorted(rows, key=str)  # no secret here
+        elif place == 4:
+            check_packed(rows, out, P.path("byte_bpe_50k.json"))
+
+
+def least_ids(rows):
+    least = {}
+    for i, t in rows:
+        least.setdefault(t or "", []).append(i)
+    return [(min((i for i in ids if i is not None), default=None), t) for t, ids in least.items()]
+
+
+def test_near_copies_of_repeated_and_missing_ids(spark):
+    text = " ".join(words(200, 3))
+    near = text + " and one more"
+    other = " ".join(words(180, 4))
+    rows = [(1, text), (2, near), (2, other), (None, near), (3, other + " x"), (None, "alone " * 9)]
+    out = corpus_pipeline.near_copies(spark, docs(spark, rows), SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted([(1, text), (2, other), (None, "alone " * 9)], key=str)
 
 
 def test_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries())
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11)) and set(ORACLE) <= set(oracle_sql())
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14)) and set(ORACLE) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
