@@ -30,11 +30,20 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each class of near-duplicates; rows without an id stay."""
-    found = order_minhash.near_duplicates(docs)
-    dropped = materialize(found.where(~F.col("kept")).select("doc_id"), "near-copies")
+    """One document, that with the least id, of each class of near-duplicates.
+
+    Rows are told apart by a key of their own, so that repeated and missing ids do no harm: rows of one id are
+    compared with each other, and rows without an id take part and stay only if all of their class have none.
+    """
+    keyed = materialize(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    found = order_minhash.near_duplicates(keyed.select("_key", F.col("text").alias("_of")), "_key", "_of")
+    members = found.select(F.col("doc_id").alias("_key"), "component_id").join(
+        fresh_keys(keyed.select("_key", F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id")), ["_key"]), "_key")
+    # a class of one keeps itself; kept rows are one for each class
+    kept = members.groupBy("component_id").agg(F.min(F.struct("_none", "_id", "_key")).alias("_kept")).select(F.col("_kept._key").alias("_key"))
+    dropped = materialize(members.select("_key").join(fresh_keys(kept, ["_key"]), "_key", "left_anti"), "near-copies")
     # by merge: the plan on a small corpus is that on a large one
-    return docs.join(fresh_keys(dropped, ["doc_id"]).hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return keyed.join(fresh_keys(dropped, ["_key"]).hint("merge"), "_key", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
