@@ -6,7 +6,8 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..session import tune
 
@@ -52,3 +53,25 @@ def ship_package(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def draw_sample(rows: DataFrame, per_class: int, chars: int) -> list[Row]:
+    """``text, label`` of at most ``per_class`` rows of each label: those with the least hash of id and text.
+
+    ``rows`` has ``doc_id, text, label``, none of text and label null. Repeated rows count once, so that a row with
+    very many copies neither fills the sample nor pushes others out. Of a text longer than ``chars`` a piece of that
+    length is taken, from a place that its hash picks. The same rows give the same sample in the same order; what
+    reaches the driver is bounded by the two numbers and the labels there are.
+    """
+    hashed = rows.select("text", "label", F.xxhash64("doc_id", "text").alias("_hash"))
+    found = hashed.groupBy("label").agg(F.approx_count_distinct("_hash").alias("_different"))
+    # a few times as many as needed are ranked, each label's by itself
+    share = F.lit(4.0 * per_class * (1 << 32)) / F.col("_different")
+    few = hashed.select("label", "_hash").join(F.broadcast(found), "label").where(F.pmod("_hash", F.lit(1 << 32)) < share)
+    least = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("_hash", F.lit(1 << 32)), "_hash"))
+    picked = few.select("label", "_hash").distinct().withColumn("_rank", least).where(F.col("_rank") <= per_class).drop("_rank")
+    start = F.pmod(F.xxhash64("_hash"), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1
+    piece = F.when(F.length("text") > chars, F.substring("text", start.cast("int"), F.lit(chars))).otherwise(F.col("text"))
+    # as many rows as were picked
+    sample = hashed.join(F.broadcast(picked), ["label", "_hash"]).dropDuplicates(["label", "_hash"])
+    return sorted(sample.select("_hash", piece.alias("text"), "label").collect())

@@ -30,7 +30,7 @@ class FileTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content.decode())
-        self.added, self.apart = _added_tokens(json.loads(content))
+        self.names, self.added, self.apart = _added_tokens(json.loads(content))
         self.model = self.tokenizer.model
         self.space, self.lower = _letters_only(json.loads(content))
         self.parts = PartEncoder(self._ids)
@@ -62,13 +62,13 @@ class FileTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text counts as empty."""
-        if self.added is None:
+        if not any(text and name in text for text in texts for name in self.names):
             return self.parts.encode(texts)
         # the library takes added tokens out first, and what stands between them goes through the other steps alone
         stretches: list[str | None] = []
         owners: list[tuple[int, bytes | None]] = []  # the text, and the ids of an added token
         for at, text in enumerate(texts):
-            if text and self.added.search(text):
+            if text and any(name in text for name in self.names):
                 if not self.apart:
                     owners.append((at, as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)))
                     continue
@@ -88,15 +88,13 @@ class FileTokenizer:
         return [b"".join(ids) for ids in out]
 
 
-def _added_tokens(spec: dict) -> tuple[re.Pattern | None, bool]:
-    """A pattern of the added tokens' strings (longest first), and whether all of them are found in the text as it
-    stands, wherever they stand and without the white space around them."""
+def _added_tokens(spec: dict) -> tuple[list[str], re.Pattern, bool]:
+    """The added tokens' strings, longest first, a pattern of them, and whether all are found in the text as it stands,
+    wherever they stand and without the white space around them."""
     added = spec.get("added_tokens") or []
-    if not added:
-        return None, True
     names = sorted((token["content"] for token in added), key=len, reverse=True)
     apart = not any(token[flag] for token in added for flag in ("single_word", "lstrip", "rstrip", "normalized"))
-    return re.compile("(" + "|".join(map(re.escape, names)) + ")"), apart
+    return names, re.compile("(" + "|".join(map(re.escape, names)) + ")"), apart
 
 
 def _letters_only(spec: dict) -> tuple[str | None, bool]:

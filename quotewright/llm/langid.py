@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import draw_sample, prepare
 from .quality import fold_of
 
-#: Buckets of the hashed features, words of a block, languages at most.
-BUCKETS, BLOCK, LANGUAGES = 1 << 16, 64, 64
-#: Documents of each language to learn from, about; the longest of them (characters); lexicon words of each.
-SAMPLE_ROWS, SAMPLE_CHARS, LEXICON = 300, 20_000, 1000
+#: Buckets of the hashed features, words of a block.
+BUCKETS, BLOCK = 1 << 16, 64
+#: Documents of each language to learn from, and of all languages, at most; characters of the piece taken of a longer
+#: one; lexicon words of each language.
+SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_CHARS, LEXICON = 300, 20_000, 20_000, 1000
 #: Words of a training chain and of one language in it, chains of a step, steps, step size.
 CHAIN, STRETCH, CHAINS, STEPS, RATE = 96, 24, 64, 150, 0.3
 #: Words whose evidence is gathered at once.
@@ -53,12 +54,13 @@ class Words:
     def of(cls, texts: list[str | None]) -> Words:
         """Words are runs of ASCII letters and of bytes beyond ASCII, in lower case."""
         raw = [(text or "").lower().encode() for text in texts]
-        flat = np.frombuffer(b" " + b" ".join(raw) + b"   ", np.uint8)
+        # three blanks around each text: no feature of a word looks into another text
+        flat = np.frombuffer(b"   ".join([b"", *raw, b""]), np.uint8)
         letter = _LETTER_BYTE[flat]
         flat = np.where(letter, flat, 32).astype(np.uint8)
         edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
         start, end = edges[::2], edges[1::2]
-        text_start = 1 + np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
+        text_start = 3 + np.cumsum([0] + [len(r) + 3 for r in raw[:-1]])
         return cls(flat, start, end, np.searchsorted(text_start, start, side="right") - 1)
 
     def __len__(self) -> int:
@@ -66,7 +68,7 @@ class Words:
 
     def part(self, first: int, last: int) -> Words:
         """Words first to last - 1, with the bytes around them."""
-        low, high = self.start[first] - 1, self.end[last - 1] + 3
+        low, high = self.start[first] - 3, self.end[last - 1] + 3
         return Words(self.flat[low:high], self.start[first:last] - low, self.end[first:last] - low, self.owner[first:last])
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ class Words:
 
     def affixes(self) -> np.ndarray:
         """Buckets of the first three and last three bytes of each word."""
-        return np.stack([_bucket(self._at(self.start), 2), _bucket(self._at(np.maximum(self.end - 3, 0)), 3)], 1)
+        return np.stack([_bucket(self._at(self.start), 2), _bucket(self._at(self.end - 3), 3)], 1)
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, wherever it stands."""
@@ -99,7 +101,11 @@ def _bucket(code: np.ndarray, kind: int) -> np.ndarray:
 
 @dataclass
 class Field:
-    """The learned field. ``lexicon`` holds word hashes in ascending order, ``member`` their languages."""
+    """The learned field. ``lexicon`` holds word hashes in ascending order, ``member`` their languages.
+
+    It holds every language that it learned from. With more than 64 of them there are fewer buckets, so that the field
+    keeps its size.
+    """
 
     languages: list[str]
     grams: np.ndarray
@@ -122,8 +128,8 @@ class Field:
         for at in range(0, len(words), AT_ONCE):
             part = words.part(at, min(len(words), at + AT_ONCE))
             bucket, first = part.grams()
-            out[at : at + AT_ONCE] = _sum_between(self.grams[bucket], first, part.end - 1)
-            out[at : at + AT_ONCE] += self.affix[part.affixes()].sum(axis=1) + self.membership(part) @ self.known
+            out[at : at + AT_ONCE] = _sum_between(self.grams[bucket & (len(self.grams) - 1)], first, part.end - 1)
+            out[at : at + AT_ONCE] += self.affix[part.affixes() & (len(self.affix) - 1)].sum(axis=1) + self.membership(part) @ self.known
         return out
 
     def marginals(self, words: Words) -> np.ndarray:
@@ -145,6 +151,42 @@ class Field:
         return found, np.where(lettered, np.clip(score, 0, 1), 0.0)
 
 
+    def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
+        """(start, end, language, probability) of each text's stretches in one language, in code points."""
+        words = Words.of(texts)
+        out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+        if not len(words):
+            return out
+        p = self.marginals(words)
+        best = p.argmax(axis=1)
+        opens = np.append(True, (best[1:] != best[:-1]) | (words.owner[1:] != words.owner[:-1]))
+        first = np.flatnonzero(opens)
+        last = np.append(first[1:], len(words)) - 1
+        mean = np.add.reduceat(p[np.arange(len(words)), best], first) / (last - first + 1)
+        places = [_places(text) if text and _LETTER.search(text) else None for text in texts]
+        text_start = 3 + np.cumsum([0] + [len((text or "").lower().encode()) + 3 for text in texts[:-1]])
+        for a, b, probability in zip(first.tolist(), last.tolist(), mean.tolist()):
+            owner = int(words.owner[a])
+            if places[owner] is None:
+                continue
+            start, end = words.start[a] - text_start[owner], words.end[b] - text_start[owner]
+            at = places[owner]
+            out[owner].append((int(at[start]), int(at[end - 1]) + 1, self.languages[best[a]], probability))
+        return out
+
+
+def _places(text: str) -> np.ndarray:
+    """The code point of ``text`` that each byte of its lower-cased form comes from."""
+    lower = text.lower()
+    if len(lower) != len(text):  # some characters have a longer lower case
+        sizes = [len(c.lower().encode()) for c in text]
+    elif lower.isascii():
+        return np.arange(len(lower))
+    else:
+        sizes = [len(c.encode()) for c in lower]
+    return np.repeat(np.arange(len(text)), sizes)
+
+
 def _sum_between(rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Sums of rows[first:last] for ascending, separate stretches."""
     if not len(first):
@@ -252,10 +294,12 @@ def train(texts: list[str], langs: list[str], seed: int = 11) -> Field | None:
     k = len(languages)
     label = np.array([languages.index(lang) for lang in langs])[words.owner]
     lexicon, member = _lexicon(words, label, k)
-    net = Field(languages, np.zeros((BUCKETS, k), np.float32), np.zeros((BUCKETS, k), np.float32), lexicon, member,
+    buckets = max(1 << 10, BUCKETS >> max(0, (k - 1).bit_length() - 6))
+    net = Field(languages, np.zeros((buckets, k), np.float32), np.zeros((buckets, k), np.float32), lexicon, member,
                 np.zeros((k, k), np.float32), np.zeros((k, k), np.float32))
     bucket, first = words.grams()
-    affixes, membership = words.affixes(), net.membership(words)
+    bucket &= buckets - 1
+    affixes, membership = words.affixes() & (buckets - 1), net.membership(words)
     spans = [np.arange(a, b) for a, b in zip(first, words.end - 1)]
     by_language = [np.flatnonzero(label == language) for language in range(k)]
     draw = np.random.default_rng(seed)
@@ -282,7 +326,7 @@ def train(texts: list[str], langs: list[str], seed: int = 11) -> Field | None:
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         np.add.at(seen, (label[row][inner], label[row][inner + 1]), 1)
         spread = lambda at, g: np.stack(
-            [np.bincount(at, weights=g[:, j], minlength=BUCKETS) for j in range(k)], 1)
+            [np.bincount(at, weights=g[:, j], minlength=buckets) for j in range(k)], 1)
         gradients = [
             spread(gram, gradient[owner_of_place]),
             spread(affixes[row].ravel(), np.repeat(gradient, 2, axis=0)),
@@ -298,25 +342,18 @@ def learn(
     docs: DataFrame, fold_out: int = 1, folds: int = 3,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Field | None:
-    """Train on about ``SAMPLE_ROWS`` documents of each language outside the held-out fold.
+    """Train on ``SAMPLE_ROWS`` documents of each language outside the held-out fold, or on all there are; None if there
+    is no such word.
 
-    The sample is bounded by that and by ``SAMPLE_CHARS``, picked by a hash of the id, and the only data that
-    reaches the driver. Beyond ``LANGUAGES`` languages the most frequent are learned.
+    Every language is learned. The sample is picked by hashes (``draw_sample``) and the only data that reaches the
+    driver; of longer texts it holds a piece of ``SAMPLE_CHARS`` characters. With very many languages each has fewer
+    documents, ``SAMPLE_TOTAL`` together, but 4 at least.
     """
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != fold_out))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return None
-    rate = None
-    for r in counts:
-        this = F.col("lang") == r["lang"]
-        value = F.lit(SAMPLE_ROWS / r["count"])
-        rate = F.when(this, value) if rate is None else rate.when(this, value)
-    short = F.length("text") <= SAMPLE_CHARS
-    drawn = known.where(short & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.coalesce(rate, F.lit(0.0)) * (1 << 20)))
-    sample = sorted(drawn.limit(4 * SAMPLE_ROWS * len(counts)).collect())  # the bound, should the hash deal badly
-    return train([r["text"] for r in sample], [r["lang"] for r in sample])
+    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label")).where(
+        F.col("label").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != fold_out))
+    languages = known.agg(F.count_distinct("label")).first()[0]
+    sample = draw_sample(known, min(SAMPLE_ROWS, max(4, SAMPLE_TOTAL // max(1, languages))), SAMPLE_CHARS)
+    return train([r["text"] for r in sample], [r["label"] for r in sample])
 
 
 def identify(
@@ -345,3 +382,28 @@ def identify(
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def language_spans(
+    docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """``doc_id, spans``: the stretches of each whole text in one language, one row per input row.
+
+    ``spans`` is an array of ``struct(start, end, lang, probability)``: neighbouring words with the same likeliest
+    language, from the first character of the first one to the last of the last (code points, end exclusive), and
+    the mean probability of that language over them. A text that is null or without a letter has none, as have all
+    texts without a field. Null ids and repeated rows pass through; an empty table gives an empty result.
+    """
+    spark = prepare(docs.sparkSession)
+    sent = spark.sparkContext.broadcast(field)
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("probability", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            found = [[] for _ in texts] if sent.value is None else sent.value.spans(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(span))], ["doc_id", "spans"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, spans array<struct<start:bigint,end:bigint,lang:string,probability:double>>")

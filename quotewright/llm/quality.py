@@ -15,14 +15,16 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from ..operators.joins import keep_keys
+from ..session import materialize
+from .common import draw_sample, prepare
 
 #: Bytes of a block; embedding size, width and number of the filters; size of the layer behind them.
 BLOCK, EMBED, WIDTH, FILTERS, HIDDEN = 256, 6, 6, 16, 12
-#: Labelled documents of each class to learn from, about, and the longest of them (characters).
+#: Labelled documents of each class to learn from, at most, and characters of the piece taken of a longer one.
 SAMPLE_ROWS, SAMPLE_CHARS = 1200, 20_000
 EPOCHS, BATCH, RATE = 14, 24, 0.01
 #: Blocks that go through the filters at once.
@@ -180,22 +182,23 @@ def learn(
     docs: DataFrame, labels: DataFrame, fold_out: int = 0, folds: int = 5,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> Network | None:
-    """Train on about ``SAMPLE_ROWS`` documents of each class that are labelled and not in the held-out fold.
+    """Train on ``SAMPLE_ROWS`` documents of each class that are labelled and not in the held-out fold, or on all there
+    are; None without both classes.
 
-    The sample is bounded by that and by ``SAMPLE_CHARS``, picked by a hash of the id, and the only data that
-    reaches the driver.
+    The sample is picked by hashes (``draw_sample``) and the only data that reaches the driver. Of longer texts it
+    holds a piece of ``SAMPLE_CHARS`` characters; an id with several texts or labels counts with each.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & (fold_of(F.col("doc_id"), folds) != fold_out))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    if set(counts) != {0, 1}:
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    # labels of documents that are there, by a hash of the id; ids alone are shuffled
+    here = keep_keys(known, docs.select(F.col(id_col).alias("doc_id")), ["doc_id"]).distinct()
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    drawn = here.withColumn("_nth", nth).where(F.col("_nth") <= 2 * SAMPLE_ROWS).drop("_nth")
+    rows = materialize(texts.join(F.broadcast(materialize(drawn, "drawn-labels")), "doc_id"), "labelled-texts")  # 4 * SAMPLE_ROWS ids
+    sample = draw_sample(rows, SAMPLE_ROWS, SAMPLE_CHARS)
+    if len({r["label"] for r in sample}) < 2:
         return None
-    rate = F.when(F.col("label") == 0, SAMPLE_ROWS / counts[0]).otherwise(SAMPLE_ROWS / counts[1])
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
-    drawn = drawn.limit(4 * SAMPLE_ROWS)  # the bound, should the hash deal badly
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label")
-    sample = sorted(rows.collect())
     return train([r["text"] for r in sample], [r["label"] for r in sample])
 
 

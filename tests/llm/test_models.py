@@ -73,6 +73,38 @@ def test_no_labels(spark):
     assert quality.learn(docs(spark, edge_rows()), labels) is None
 
 
+def labelled_frames(spark, rows):
+    """Frames of documents and labels from (doc_id, text, label); a null text is a label without a document."""
+    labels = spark.createDataFrame([(i, c, 0) for i, _, c in rows], "doc_id bigint, quality int, toxic int")
+    return docs(spark, [(i, t) for i, t, _ in rows if t is not None]), labels
+
+
+def test_learns_from_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 1000)
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 300)
+    good, junk = " plain words of a text that reads well" * 900, " ### $$$ %%%% &&& *** ###" * 1200
+    rows = [(i, (good if i % 2 else junk) + str(i), i % 2) for i in range(60)]
+    network = quality.learn(*labelled_frames(spark, rows))
+    scores = network.scores([good, junk, good[:500], junk[:500]])
+    assert scores[0] > 0.5 > scores[1] and scores[2] > 0.5 > scores[3]
+
+
+def test_sample_is_bounded_and_repeatable(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 50)
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: seen.append((texts, labels)))
+    # one id with very many rows, copies and others, and labels without a document
+    rows = [(7, f"copy {n % 3} " * 30, 1) for n in range(4000)] + [(7, f"other {n} " * 30, 1) for n in range(500)]
+    rows += [(100 + n, f"text {n} " * 9, n % 2) for n in range(30)] + [(1000 + n, None, 0) for n in range(5000)]
+    frames = labelled_frames(spark, rows)
+    quality.learn(*frames)
+    quality.learn(frames[0].repartition(7), frames[1].repartition(3))
+    (texts, labels), again = seen
+    assert again == (texts, labels) and labels.count(1) == 20 and labels.count(0) >= 8
+    assert max(map(len, texts)) <= 50
+
+
 def test_op3_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = {r["doc_id"]: r for r in QUERIES["op3_quality"](spark, sf).collect()}
@@ -125,7 +157,7 @@ def test_code_switched_words(field):
 
 
 def test_batches_do_not_matter(field):
-    texts = [r["text"] for r in table("documents")[:40]] + ["", None, "...", "12 345", "é"]
+    texts = [r["text"] for r in table("documents")[:40]] + ["a", "I x", "", None, "...", "12 345", "é"]
     together, scores = field.predict(texts)
     alone = [field.predict([t]) for t in texts]
     assert together == [a[0][0] for a in alone] and np.allclose(scores, [a[1][0] for a in alone])
@@ -143,6 +175,91 @@ def test_language_edges(spark, field):
     assert langid.learn(docs(spark, rows)) is None
 
 
+def plain_words(text):
+    """(start, end) in the lower-cased bytes, and those bytes with all else blanked."""
+    raw = (text or "").lower().encode()
+    letters = [chr(b).isalpha() if b < 128 else True for b in raw]
+    flat = bytes([32] * 3 + [b if on else 32 for b, on in zip(raw, letters)] + [32] * 3)
+    edges = [at for at in range(1, len(flat)) if (flat[at] != 32) != (flat[at - 1] != 32)]
+    return flat, list(zip(edges[::2], edges[1::2]))
+
+
+def plain_marginals(field, text):
+    """The field written out for one text: features of each word, then forward-backward word by word."""
+    flat, words = plain_words(text)
+    mask = len(field.grams) - 1
+
+    def bucket(at, kind):
+        code = flat[at] | flat[at + 1] << 8 | flat[at + 2] << 16
+        return (((code ^ (kind * 0x9E3779B1 & 0xFFFFFFFF)) * 2654435761 & 0xFFFFFFFF) >> 16) & mask
+
+    evidence = np.zeros((len(words), len(field.languages)))
+    for n, (start, end) in enumerate(words):
+        for at in range(start - 1, end - 1):
+            evidence[n] += field.grams[bucket(at, 1)]
+        evidence[n] += field.affix[bucket(start, 2)] + field.affix[bucket(end - 3, 3)]
+        h = 0
+        for b in flat[start : min(end, start + 24)]:
+            h = (h ^ b) * 0x100000001B3 & (1 << 64) - 1
+        h ^= (end - start) << 56 & (1 << 64) - 1
+        known = np.flatnonzero(field.lexicon == np.uint64(h))
+        if len(known):
+            evidence[n] += field.member[known[0]] @ field.known
+    psi, step = np.exp(evidence), np.exp(field.transitions.astype(float))
+    a, b = psi.copy(), np.ones_like(psi)
+    for t in range(len(psi)):
+        if t:
+            a[t] = a[t - 1] @ step * psi[t]
+        a[t] /= a[t].sum()
+    for t in range(len(psi) - 2, -1, -1):
+        b[t] = step @ (psi[t + 1] * b[t + 1])
+        b[t] /= b[t].sum()
+    return a * b / (a * b).sum(axis=1, keepdims=True)
+
+
+def test_prediction_is_the_field(field):
+    texts = [r["text"][:1500] for r in table("documents")[:25]] + ["a", "é b", "I x", "Straße und Über", "w " * 200, "x" * 90]
+    found, scores = field.predict(texts)
+    for text, lang, score in zip(texts, found, scores):
+        p = plain_marginals(field, text).sum(axis=0)
+        assert lang == field.languages[p.argmax()] and score == pytest.approx(p.max() / p.sum(), abs=1e-4)
+
+
+def test_spans_of_languages(spark, field):
+    pick = lambda lang: next(r["text"] for r in table("documents") if r["lang"] == lang and 400 < len(r["text"]) < 2000)[:400]
+    mixed = "\u0130 – " + pick("en") + " " + pick("de")
+    rows = edge_rows() + [(30, mixed)]
+    got = langid.language_spans(docs(spark, rows), field).collect()
+    assert len(got) == len(rows)
+    for row in got:
+        text = next(t for i, t in rows if i == row["doc_id"] and (t or "") != "" or i == row["doc_id"])
+        if row["doc_id"] is None:
+            continue
+        spans = row["spans"]
+        assert all(a["end"] <= b["start"] and a["lang"] != b["lang"] for a, b in zip(spans, spans[1:]))
+        assert all(0 < s["probability"] <= 1 and (text[s["start"]].isalpha() or text[s["start"]] > "~") and s["end"] <= len(text) for s in spans)
+    (spans,) = [r["spans"] for r in got if r["doc_id"] == 30]
+    held = lambda lang, part: sum(max(0, min(s["end"], part.stop) - max(s["start"], part.start)) for s in spans if s["lang"] == lang)
+    assert held("en", range(4, 404)) > 320 and held("de", range(405, 805)) > 320
+    # one label for each word of the plain version, merged
+    p = plain_marginals(field, mixed)
+    labels = [field.languages[i] for i in p.argmax(axis=1)]
+    assert [s["lang"] for s in spans] == [x for n, x in enumerate(labels) if not n or labels[n - 1] != x]
+    assert langid.language_spans(docs(spark, []), field).count() == 0
+    assert all(r["spans"] == [] for r in langid.language_spans(docs(spark, rows), None).collect())
+
+
+def test_more_languages_than_before(spark):
+    letters = "bcdfghjklmnpqrstvwxz"
+    make = lambda n: " ".join(letters[n % 20] + letters[n // 20] + "aeiou"[k % 5] for k in range(60))
+    rows = [(n * 10 + k, make(n), f"l{n:03d}", None, 0) for n in range(90) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    field = langid.learn(df)
+    assert field.languages == [f"l{n:03d}" for n in range(90)] and field.grams.shape == (1 << 15, 90)
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, field).collect()}
+    assert sum(found[r[0]] == r[2] for r in rows) > 0.9 * len(rows)
+
+
 def test_op9_held_out(spark):
     sf = "/root/testdata/sf0.1"
     rows = table("documents", sf)
