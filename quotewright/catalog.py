@@ -499,6 +499,17 @@ def offer_labels(c: Context) -> DataFrame:
     return named.select("worker_id", "submission_id", SEQ, "label")
 
 
+@query
+def labels_across_bases(c: Context) -> DataFrame:
+    """Labels within each quote from names that hold separators and numbers, so that bases reach for one label."""
+    last = F.col(SEQ) % 4
+    name = F.concat("cond_available", F.when(last == 1, " (#2)").when(last == 2, " | T").otherwise(""))
+    rows = c.t.submissions.select(
+        "quote_id", "submission_id", SEQ, name.alias("name"), F.when(F.col(SEQ) % 5 < 3, "T").alias("mark"), "supplier_source")
+    named = labels.unique_labels(rows, ["name"], ["mark", "supplier_source"], [SEQ], ["quote_id"])
+    return named.select("quote_id", "submission_id", "label")
+
+
 @query
 def assign_submission_ids(c: Context) -> DataFrame:
     batch = c.t.quotes.select(*PART, SEQ)

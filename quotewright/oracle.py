@@ -6,6 +6,8 @@ aggregates and joins.
 
 from __future__ import annotations
 
+import re
+
 _BLANK = "('', 'nan', 'none')"
 _NULL_TOKENS = (
     "('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', "
@@ -149,7 +151,7 @@ _CTES: dict[str, str] = {
         SELECT * REPLACE (
           CASE WHEN g.submission_id IS NULL THEN 'true' WHEN o.certificate_available = 'YES' THEN 'true' ELSE 'false' END AS "select",
           CAST(CASE WHEN g.submission_id IS NULL THEN margin_percent WHEN o.cond_available = 'NE' THEN 12.5 ELSE 0 END AS DECIMAL(7,2)) AS margin_percent)
-        FROM (SELECT g.*, o.certificate_available, o.cond_available FROM grid g LEFT JOIN offers o ON o.submission_id = g.submission_id) g
+        FROM grid g
         LEFT JOIN (SELECT submission_id AS sid, certificate_available, cond_available FROM offers) o ON o.sid = g.submission_id""",
     "exportable": """
         SELECT f.selected_submission_id, f.quote_id, f.part_no, f.supplier, f.final_unit_price, f.final_total,
@@ -228,7 +230,16 @@ _CTES: dict[str, str] = {
 
 
 def _with(sql: str) -> str:
-    return "WITH " + ", ".join(f"{name} AS ({body})" for name, body in _CTES.items()) + "\n" + sql
+    """The statement behind the views that it needs, directly or through others."""
+    needed: set[str] = set()
+    texts = [sql]
+    while texts:
+        words = set(re.findall(r"\w+", texts.pop()))
+        new = words.intersection(_CTES) - needed
+        needed |= new
+        texts += [_CTES[name] for name in new]
+    head = "WITH RECURSIVE " if "FROM walk" in sql else "WITH "
+    return head + ", ".join(f"{name} AS ({body})" for name, body in _CTES.items() if name in needed) + "\n" + sql
 
 
 _Q = (
@@ -388,11 +399,13 @@ ORACLE: dict[str, str] = {
     "internal_quote": f"""
         SELECT customer_ref_no AS ref_no, part_no, description, {_dbl('qty')} AS qty, supplier, condition, lead_time,
                {_GRID_MONEY}, customer_due_date FROM edited""",
-    "client_quote": f"""
+    "client_quote": f""",
+        rows_out AS MATERIALIZED (SELECT * FROM exportable),
+        blocked AS (SELECT DISTINCT customer_ref_no AS blocked_ref FROM rows_out WHERE selected_submission_id IS NULL)
         SELECT customer_id, customer_ref_no AS ref_no, part_no, description, qty, {_money_text('final_unit_price')} AS unit_price,
                {_money_text('final_total')} AS total_price, cond_available AS condition, lt AS lead_time_days,
                certificate_type, certificate_file
-        FROM exportable WHERE customer_ref_no NOT IN (SELECT customer_ref_no FROM exportable WHERE selected_submission_id IS NULL)""",
+        FROM rows_out LEFT JOIN blocked ON blocked_ref = customer_ref_no WHERE blocked_ref IS NULL""",
     "worker_queue": "SELECT worker_id, quote_id, customer_ref_no, part_no, description, qty, 'EA' AS measure_unit, worker_due_date FROM tasks",
     "my_submissions": """
         SELECT worker_id, customer_ref_no, part_no, description, supplier, supplier_country, supplier_source, price,
@@ -456,6 +469,21 @@ ORACLE: dict[str, str] = {
         FROM (SELECT worker_id, submission_id, _seq, part_no, supplier_country, '' AS tail FROM ranked WHERE r0 = 1
               UNION ALL SELECT worker_id, submission_id, _seq, part_no, supplier_country, ' | ' || quote_id FROM first_d WHERE r1 = 1
               UNION ALL SELECT worker_id, submission_id, _seq, part_no, supplier_country, ' (#' || CAST(r3 + 1 AS VARCHAR) || ')' FROM rest)""",
+    "labels_across_bases": """
+        , picks AS (
+          SELECT quote_id, submission_id, row_number() OVER (PARTITION BY quote_id ORDER BY _seq) AS i,
+                 cond_available || CASE _seq % 4 WHEN 1 THEN ' (#2)' WHEN 2 THEN ' | T' ELSE '' END AS base,
+                 CASE WHEN _seq % 5 < 3 THEN 'T' END AS d1, supplier_source AS d2 FROM s),
+        named AS (
+          SELECT *, list_filter([base, base || ' | ' || d1, base || ' | ' || d2], lambda x: x IS NOT NULL) AS candidates,
+                 list_transform(range(2, i + 3), lambda n: base || ' (#' || n || ')') AS numbers FROM picks),
+        walk AS (
+          SELECT DISTINCT quote_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken FROM named
+          UNION ALL
+          SELECT w.quote_id, n.i, list_append(w.taken, list_filter(list_concat(n.candidates, n.numbers),
+                   lambda x: NOT list_contains(w.taken, x))[1])
+          FROM walk w JOIN named n ON n.quote_id = w.quote_id AND n.i = w.i + 1)
+        SELECT n.quote_id, n.submission_id, w.taken[n.i] AS label FROM named n JOIN walk w ON w.quote_id = n.quote_id AND w.i = n.i""",
     "assign_submission_ids": """
         SELECT quote_id, part_no, _seq, 'SUB' || CAST(top_id + row_number() OVER (ORDER BY _seq) AS VARCHAR) AS submission_id
         FROM q CROSS JOIN top""",
@@ -608,12 +636,14 @@ ORACLE |= {
         SELECT 'SUB' || CAST(top_id + k AS VARCHAR), quote_id, part_no, 'Second Source', supplier_country, 'PHONE', '11', cond_available,
                qty_available, lt, 'NO', '', '', 'found', worker_id, {_AS_OF}, 'NO', 'NO', '', top_seq + k
         FROM wanted CROSS JOIN top""",
-    "save_final": f"""
+    "save_final": f""",
+        draft AS MATERIALIZED (SELECT * FROM edited),
+        drafted AS (SELECT DISTINCT quote_id AS drafted_id FROM draft)
         SELECT quote_id, part_no, supplier, {_FINAL_MONEY}, selected_submission_id, generated_date
-        FROM f WHERE quote_id NOT IN (SELECT quote_id FROM edited)
+        FROM f LEFT JOIN drafted ON drafted_id = quote_id WHERE drafted_id IS NULL
         UNION ALL
         SELECT quote_id, part_no, supplier, {_dbl('price')}, {_dbl('margin_percent')}, {_dbl(_UNIT)}, {_dbl(_UNIT + ' * qty')},
-               submission_id, {_AS_OF} FROM edited WHERE "select" = 'true' AND coalesce(supplier, '') <> ''""",
+               submission_id, {_AS_OF} FROM draft WHERE "select" = 'true' AND coalesce(supplier, '') <> ''""",
     "stream_submit_offers": "SELECT * FROM submitted",
     "stream_ingest_quotes": _INGEST.format(place="place").replace(
         f"FROM ({_VALID_UPLOAD})",
