@@ -53,12 +53,19 @@ def delete_rows(base: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFra
     return drop_keys(base, keys_of, keys).select(*base.columns)
 
 
-def append_numbered(base: DataFrame, new: DataFrame, place: str, stored: DataFrame | None = None) -> DataFrame:
+def append_numbered(
+    base: DataFrame, new: DataFrame, place: str, stored: DataFrame | None = None, top: Column | None = None,
+) -> DataFrame:
     """Append rows; ``_seq`` goes on above the largest one in the order of the column ``place`` (>= 0).
 
-    ``stored`` is the table to take that maximum from when ``base`` is a change of it with the same rows.
+    ``stored`` is the table to take that maximum from when ``base`` is a change of it with the same rows; ``top`` is
+    the maximum itself, where ``base`` is only a part of the table. Columns that the new rows lack are null.
     """
-    top = highest_seq(base if stored is None else stored)
+    if top is None:
+        top = highest_seq(base if stored is None else stored)
     numbered = new.withColumn(SEQ, top + F.lit(1) + F.col(place))
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in base.schema.fields]
+    columns = [
+        (F.col(f.name) if f.name in numbered.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in base.schema.fields
+    ]
     return base.unionByName(numbered.select(columns))

@@ -7,6 +7,8 @@ of making the requests one after the other.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from ..operators.numbering import highest_seq, highest_submission_number, with_p
 from ..schemas import (
     ALL_PARTS, ASSIGNED, COMPLETED, DELETED, NO, NO_QUOTE_LABEL, SEQ, SUBMITTED, UPLOADED, YES,
 )
+from ..session import materialize
 from ..sources.tables import enforce_schema
 from .pricing import chosen_rows
 
@@ -33,6 +36,19 @@ PART = ["quote_id", "part_no"]
 OFFER = [*PART, "supplier"]
 
 
+@dataclass(frozen=True)
+class Top:
+    """The highest ``_seq`` of a table and the highest submission number, where a change sees only a part of it."""
+
+    seq: Column
+    number: Column | None = None
+
+
+def _fields(table: DataFrame, *without: str) -> list[str]:
+    """Columns of a table but for the given ones and those that only travel along."""
+    return [c for c in table.columns if c not in without and not c.startswith("_")]
+
+
 # --- quotes ------------------------------------------------------------------------------------
 
 def upload_preview(upload: DataFrame, number_type: str = "double") -> DataFrame:
@@ -66,6 +82,7 @@ def valid_upload(upload: DataFrame, as_of: str | Column | None = None, number_ty
 
 def ingest_quotes(
     existing: DataFrame, upload: DataFrame, as_of: str | Column | None = None, number_type: str = "double",
+    top: Top | None = None,
 ) -> DataFrame:
     """Append the valid rows of an upload; nothing is compared with the rows on file.
 
@@ -74,7 +91,8 @@ def ingest_quotes(
     """
     rows = valid_upload(upload, as_of, number_type)
     lowest = upload.agg(F.min(SEQ)).scalar()
-    shifted = rows.withColumn(SEQ, highest_seq(existing) + F.lit(1) + F.col(SEQ) - lowest)
+    highest = top.seq if top else highest_seq(existing)
+    shifted = rows.withColumn(SEQ, highest + F.lit(1) + F.col(SEQ) - lowest)
     return existing.unionByName(enforce_schema(shifted, existing.schema))
 
 
@@ -104,9 +122,10 @@ def purge_deleted(tables: Tables) -> Tables:
 
 def promote_submitted(quotes: DataFrame, submissions: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Set quotes with every part answered to submitted; ``only`` limits it to some quote ids."""
-    complete = fully_submitted(quotes, submissions)
-    if only is not None:
-        complete = keep_keys(complete, only, ["quote_id"])
+    asked, answers = quotes, submissions
+    if only is not None:  # nothing of other quotes is counted
+        asked, answers = keep_keys(quotes, only, ["quote_id"]), keep_keys(submissions, only, ["quote_id"])
+    complete = fully_submitted(asked, answers)
     return set_status(quotes, complete, "quote_id", SUBMITTED)
 
 
@@ -125,14 +144,20 @@ def accepted_assignments(quotes: DataFrame, assignments: DataFrame, users: DataF
     return first_per(drop_keys(allowed, completed, ["quote_id"]), ["quote_id"])
 
 
-def assign_quotes(tables: Tables, requests: DataFrame, as_of: str | Column | None = None) -> Tables:
-    """Assign whole quotes to workers and mark their open lines as assigned."""
-    accepted = accepted_assignments(tables.quotes, tables.assignments, tables.users, requests)
-    rows = accepted.select(
+def assignment_rows(
+    quotes: DataFrame, assignments: DataFrame, users: DataFrame, requests: DataFrame, as_of: str | Column | None = None,
+) -> DataFrame:
+    """Accepted requests as rows of ``assignments``, in the order of ``_place``."""
+    return accepted_assignments(quotes, assignments, users, requests).select(
         "quote_id", F.lit(ALL_PARTS).alias("part_no"), F.col("worker_id").alias("assigned_to"),
         as_of_text(as_of).alias("assigned_date"), date_text(F.col("worker_due_date")).alias("worker_due_date"),
         F.col(SEQ).alias("_place"),
     )
+
+
+def assign_quotes(tables: Tables, requests: DataFrame, as_of: str | Column | None = None) -> Tables:
+    """Assign whole quotes to workers and mark their open lines as assigned."""
+    rows = assignment_rows(tables.quotes, tables.assignments, tables.users, requests, as_of)
     return tables.updated(
         assignments=append_numbered(tables.assignments, rows, "_place"),
         quotes=set_status(tables.quotes, rows, "quote_id", ASSIGNED, keep=[DELETED]),
@@ -234,7 +259,7 @@ def offer_values(requests: DataFrame, as_of: str | Column | None = None, carry:
     )
 
 
-def upsert_offers(submissions: DataFrame, values: DataFrame) -> DataFrame:
+def upsert_offers(submissions: DataFrame, values: DataFrame, top: Top | None = None) -> DataFrame:
     """Upsert by (quote, part, supplier): a match keeps the id of its first row and replaces every other
     field, also the worker; new keys are appended with the next ids, in order of first request."""
     last = last_per(values, OFFER, _first=F.min(SEQ))
@@ -247,25 +272,27 @@ def upsert_offers(submissions: DataFrame, values: DataFrame) -> DataFrame:
     placed = with_position(
         resolved.withColumn("_has_id", F.col("_kept_id").isNotNull()), ["_has_id", "_first"], "_pos"
     )
-    number = highest_submission_number(submissions) + F.lit(1) + F.col("_pos")
+    number = (top.number if top else highest_submission_number(submissions)) + F.lit(1) + F.col("_pos")
     rows = placed.withColumn("submission_id", F.coalesce("_kept_id", submission_id(number)))
     known, fresh = rows.where(F.col("_known")), rows.where(F.col("_known").isNull())
-    columns = [c for c in submissions.columns if c not in (*OFFER, SEQ)]
+    columns = _fields(submissions, *OFFER)
     setters = {c: (lambda new, c=c: new(c)) for c in columns}
     updated = update_rows(submissions, known.select(*OFFER, *columns), OFFER, setters)
-    return append_numbered(updated, fresh, "_pos", submissions)
+    return append_numbered(updated, fresh, "_pos", submissions, top.seq if top else None)
 
 
 def submit_offers(tables: Tables, requests: DataFrame, as_of: str | Column | None = None) -> Tables:
     """Take in supplier offers, then move their quotes on when all parts are answered."""
-    values = offer_values(requests, as_of)
+    values = materialize(offer_values(requests, as_of), "offer-values")  # several steps read them
     submissions = upsert_offers(tables.submissions, values)
     return tables.updated(
         submissions=submissions, quotes=promote_submitted(tables.quotes, submissions, only=values)
     )
 
 
-def mark_no_quote(submissions: DataFrame, requests: DataFrame, as_of: str | Column | None = None) -> DataFrame:
+def mark_no_quote(
+    submissions: DataFrame, requests: DataFrame, as_of: str | Column | None = None, top: Top | None = None,
+) -> DataFrame:
     """Record that a worker found no supplier: (quote_id, part_no, worker_id, remark, ``_seq``).
 
     Upsert by (quote, part, blank supplier, worker). Every valid request uses up an id, and the newest id
@@ -274,7 +301,7 @@ def mark_no_quote(submissions: DataFrame, requests: DataFrame, as_of: str | Colu
     keys = [*PART, "worker_id"]
     wanted = requests.withColumn("remark", clean_text(F.col("remark"))).where(F.col("remark") != "")
     numbered = with_position(wanted.select(*keys, "remark", SEQ), [SEQ], "_pos")
-    number = highest_submission_number(submissions) + F.lit(1) + F.col("_pos")
+    number = (top.number if top else highest_submission_number(submissions)) + F.lit(1) + F.col("_pos")
     last = last_per(numbered.withColumn("submission_id", submission_id(number)), keys, _place=F.min("_pos"))
     empty = ["supplier_country", "supplier_source", "cond_available", "lt", "certificate_file", "certificate_type"]
     fixed = {
@@ -285,12 +312,12 @@ def mark_no_quote(submissions: DataFrame, requests: DataFrame, as_of: str | Colu
         "no_quote_remark": F.col("remark"), "supplier": F.lit(""),
     }
     rows = last.withColumns(fixed)
-    columns = [c for c in submissions.columns if c not in (*keys, "supplier", SEQ)]
+    columns = _fields(submissions, *keys, "supplier")
     setters = {c: (lambda new, c=c: new(c)) for c in columns}
     key = [*keys, "supplier"]
     updated = update_rows(submissions, rows.select(*key, *columns), key, setters)
     new_rows = drop_keys(rows, submissions.where(F.col("supplier") == ""), key)
-    return append_numbered(updated, new_rows, "_place", submissions)
+    return append_numbered(updated, new_rows, "_place", submissions, top.seq if top else None)
 
 
 def resubmit(submissions: DataFrame, requests: DataFrame, as_of: str | Column | None = None) -> DataFrame:
@@ -331,29 +358,43 @@ def offer_from_no_quote(tables: Tables, requests: DataFrame, as_of: str | Column
     a row for the part. The other requests go by (quote, part, supplier), as in ``upsert_offers``. Within
     one batch the no-quote rows are served first.
     """
+    values = no_quote_values(requests, as_of)
+    submissions = claim_no_quotes(tables.submissions, values)
+    return tables.updated(
+        submissions=submissions, quotes=promote_submitted(tables.quotes, submissions, only=values)
+    )
+
+
+def no_quote_values(requests: DataFrame, as_of: str | Column | None = None) -> DataFrame:
+    """Acceptable requests of ``offer_from_no_quote`` with the no-quote they name, written once: several steps read them."""
     values = offer_values(requests.withColumn("target", F.col("submission_id")), as_of, carry=("target",))
-    open_rows = tables.submissions.where((F.col("supplier") == "") & F.col("submission_id").isNotNull()).select(
+    return materialize(values, "offer-values")
+
+
+def claim_no_quotes(submissions: DataFrame, values: DataFrame, top: Top | None = None) -> DataFrame:
+    """Submissions after ``no_quote_values``: claimed no-quote rows overwritten, the other offers upserted."""
+    open_rows = submissions.where((F.col("supplier") == "") & F.col("submission_id").isNotNull()).select(
         F.col("submission_id").alias("target")
     )
-    claims = first_per(keep_keys(values, open_rows, ["target"]), ["target"])
+    claims = materialize(first_per(keep_keys(values, open_rows, ["target"]), ["target"]), "claims")
     rest = drop_keys(values, claims, [SEQ]).drop("target")
     changes = claims.withColumnRenamed("target", "submission_id").drop(SEQ).withColumn(
         "_new_supplier", F.col("supplier")
     ).withColumn("supplier", F.lit(""))
-    columns = [c for c in tables.submissions.columns if c not in ("submission_id", "supplier", SEQ)]
+    columns = _fields(submissions, "submission_id", "supplier")
     setters = {c: (lambda new, c=c: new(c)) for c in columns}
     setters["supplier"] = lambda new: new("_new_supplier")
-    claimed = update_rows(tables.submissions, changes, ["submission_id", "supplier"], setters)
-    submissions = upsert_offers(claimed, rest)
-    return tables.updated(
-        submissions=submissions, quotes=promote_submitted(tables.quotes, submissions, only=values)
-    )
+    claimed = update_rows(submissions, changes, ["submission_id", "supplier"], setters)
+    return upsert_offers(claimed, rest, top)
 
 
 # --- pricing -----------------------------------------------------------------------------------
 
-def save_final(final_quotes: DataFrame, grid: DataFrame, as_of: str | Column | None = None) -> DataFrame:
+def save_final(
+    final_quotes: DataFrame, grid: DataFrame, as_of: str | Column | None = None, top: Top | None = None,
+) -> DataFrame:
     """Replace the final rows of every quote in the grid by its ticked rows with a supplier."""
+    grid = materialize(grid, "grid")  # its quotes and its rows are read
     kept = delete_rows(final_quotes, grid, ["quote_id"])
     rows = chosen_rows(grid).select(
         *OFFER, "price", "margin_percent", "final_unit_price", "final_total",
@@ -362,5 +403,5 @@ def save_final(final_quotes: DataFrame, grid: DataFrame, as_of: str | Column | N
     )
     order = ["quote_id", "part_no", "offer_seq", "description", "qty", "customer_due_date"]
     placed = with_position(rows, order, "_pos")
-    numbered = placed.withColumn(SEQ, highest_seq(final_quotes) + F.lit(1) + F.col("_pos"))
+    numbered = placed.withColumn(SEQ, (top.seq if top else highest_seq(final_quotes)) + F.lit(1) + F.col("_pos"))
     return kept.unionByName(enforce_schema(numbered, final_quotes.schema))
