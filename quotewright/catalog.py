@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from .operators import clean, filters, joins, labels, latest, metrics, numbering
-from .plans import attachments, desk, mutations, pricing, worker
+from .plans import attachments, desk, mutations, pricing, progress, worker
+from .plans.versioned import Desk
 from .schemas import (
     ASSIGNMENTS, ASSIGNMENTS_HEADINGS, FINAL_QUOTES, OFFER_REQUESTS, QUOTES,
     QUOTES_HEADINGS, SEQ, UPLOAD, UPLOAD_HEADINGS, rename_map,
@@ -835,6 +836,48 @@ def save_final(c: Context) -> DataFrame:
     return _final_plain(saved).drop(SEQ)
 
 
+# --- versions of the tables ----------------------------------------------------------------------
+
+def _desk(c: Context) -> Desk:
+    versions = Desk(c.spark, c.path("desk"))
+    versions.create(c.t.bundle())
+    return versions
+
+
+def _ids_to_delete(c: Context) -> DataFrame:
+    return c.t.quotes.where("status = 'UPLOADED' AND cond = 'Rp'").select("quote_id").distinct()
+
+
+@query
+def versioned_submissions(c: Context) -> DataFrame:
+    """Submissions in the version that follows a batch of offers."""
+    versions = _desk(c)
+    versions.submit_offers(_offer_requests(c), AS_OF)
+    return versions.tables().submissions
+
+
+@query
+def versioned_progress(c: Context) -> DataFrame:
+    """Asked and answered parts of every quote after offers and deletions, from counts kept by differences."""
+    versions = _desk(c)
+    versions.submit_offers(_offer_requests(c), AS_OF)
+    versions.soft_delete(_ids_to_delete(c))
+    return progress.quote_counts(versions.counts())
+
+
+@query
+def affected_rows(c: Context) -> DataFrame:
+    """Rows that each of three changes in a row updated, inserted and deleted, per table, counted while writing."""
+    versions = _desk(c)
+    changes = {
+        "submit_offers": lambda: versions.submit_offers(_offer_requests(c), AS_OF),
+        "soft_delete": lambda: versions.soft_delete(_ids_to_delete(c)),
+        "purge_deleted": versions.purge_deleted,
+    }
+    rows = [(name, table, *counts) for name, change in changes.items() for table, counts in change().affected().items()]
+    return c.spark.createDataFrame(rows, "change string, table_name string, updated bigint, inserted bigint, deleted bigint")
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 @query

@@ -653,5 +653,36 @@ ORACLE |= {
 }
 
 
+_S = (
+    "submission_id, quote_id, part_no, supplier, supplier_country, supplier_source, price, cond_available, qty_available, lt, "
+    "certificate_available, certificate_file, certificate_type, remarks, worker_id, submitted_date, edit_required, no_quote, "
+    "no_quote_remark, _seq"
+)
+_TO_DELETE = "SELECT quote_id FROM q WHERE status = 'UPLOADED' AND cond = 'Rp'"
+
+ORACLE |= {
+    "versioned_submissions": ORACLE["submit_offers"],
+    "versioned_progress": f"""
+        SELECT l.quote_id, l.requested, coalesce(o.answered, 0) AS answered, l.closed
+        FROM (SELECT quote_id, count(DISTINCT part_no) AS requested,
+                     bool_or(coalesce(status IN ('DELETED', 'COMPLETED'), false) OR quote_id IN ({_TO_DELETE})) AS closed
+              FROM q GROUP BY quote_id) l
+        LEFT JOIN (SELECT quote_id, count(DISTINCT part_no) AS answered FROM submitted GROUP BY quote_id) o USING (quote_id)""",
+    "affected_rows": f""",
+        after_q AS ({ORACLE["submit_offers_quotes"]}),
+        deleted_ids AS (SELECT quote_id FROM gone UNION {_TO_DELETE})
+        SELECT 'submit_offers' AS change, 'submissions' AS table_name,
+               (SELECT count(*) FROM (SELECT {_S} FROM submitted WHERE _seq IN (SELECT _seq FROM s) EXCEPT SELECT {_S} FROM s)) AS updated,
+               (SELECT count(*) FROM submitted) - (SELECT count(*) FROM s) AS inserted, 0 AS deleted
+        UNION ALL SELECT 'submit_offers', 'quotes', (SELECT count(*) FROM (SELECT {_Q} FROM after_q EXCEPT SELECT {_Q} FROM q)), 0, 0
+        UNION ALL SELECT 'soft_delete', 'quotes',
+               (SELECT count(*) FROM q WHERE quote_id IN ({_TO_DELETE}) AND status IS DISTINCT FROM 'DELETED'), 0, 0
+        UNION ALL SELECT 'purge_deleted', 'quotes', 0, 0, (SELECT count(*) FROM q WHERE quote_id IN (SELECT quote_id FROM deleted_ids))
+        UNION ALL SELECT 'purge_deleted', 'assignments', 0, 0, (SELECT count(*) FROM a WHERE quote_id IN (SELECT quote_id FROM deleted_ids))
+        UNION ALL SELECT 'purge_deleted', 'submissions', 0, 0, (SELECT count(*) FROM submitted WHERE quote_id IN (SELECT quote_id FROM deleted_ids))
+        UNION ALL SELECT 'purge_deleted', 'final_quotes', 0, 0, (SELECT count(*) FROM f WHERE quote_id IN (SELECT quote_id FROM deleted_ids))""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: _with(sql) for name, sql in ORACLE.items()}
