@@ -32,12 +32,16 @@ SIMILARITY = 0.9
 SAMPLE, QUERIES = 4096, 256
 #: Part of a query's links, and of the moved copies, whose cell a query must visit.
 TARGET_RECALL = 0.99
-#: Comparisons that cost as much as sending a vector to a cell.
-SENT = 100
+#: Comparisons that cost as much as sending a vector to a cell: the network and disks are what is short at scale.
+SENT = 1000
 #: Vectors in a cell, on average, that the number of codewords aims at, and the most codewords of a half.
 PER_CELL, CODEWORDS = 8, 512
 #: Vectors in a block of a cell.
 BLOCK = 256
+#: Lengths with an index of their own, at most, and how many vectors one must have; all other lengths have one cell.
+LENGTHS, LARGE = 16, 4096
+#: Cells are numbered within a length.
+WIDE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -190,31 +194,47 @@ def _usable(vector: Column) -> Column:
         vector.isNotNull() & F.forall(vector, fine) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _placed(vectors: DataFrame, index: MultiIndex, query: bool) -> DataFrame:
-    """``cell, id, vector``: each vector at home, or in every cell it visits."""
-    sent = vectors.sparkSession.sparkContext.broadcast(index)  # two codebooks of CODEWORDS rows at most
+def _lengths(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each length of the vectors in the last column, the rows that have it, and their unit vectors."""
+    column = batch.column(batch.num_columns - 1)
+    sizes = np.diff(column.offsets.to_numpy())
+    for d in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == d)
+        flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+        yield d, rows, unit_vectors(flat.reshape(len(rows), d))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            unit = unit_vectors(batch.column(1).to_pylist()) if len(batch) else np.zeros((0, 2))
-            if not len(batch):
-                continue
-            # a few thousand rows at a time, however many cells are visited
-            step = max(1, 8192 // sent.value.visits) if query else len(unit)
-            for at in range(0, len(unit), step):
-                part = unit[at : at + step]
-                cells = sent.value.traverse(part) if query else sent.value.home(part)[:, None]
-                rows = pa.array(np.repeat(np.arange(at, at + len(part)), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.ravel()), batch.column(0).take(rows), batch.column(1).take(rows)],
-                    ["cell", "id", "vector"])
 
+def _placed(vectors: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
+    """``cell, at_home, id, copies, home, visited, vector``: each vector at home, where it lists the cells that it
+    visits, and in every one of those."""
+    sent = vectors.sparkSession.sparkContext.broadcast(indexes)  # LENGTHS times two codebooks of CODEWORDS rows at most
     kind = vectors.schema["vector"].dataType.simpleString()
-    return vectors.select("id", "vector").mapInArrow(run, f"cell long, id long, vector {kind}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, rows, unit in _lengths(batch) if len(batch) else ():
+                index = sent.value.get(d)
+                # a few thousand rows at a time, however many cells are visited
+                step = max(1, 8192 // (index.visits if index else 1))
+                for at in range(0, len(rows), step):
+                    own = rows[at : at + step]
+                    cells = index.traverse(unit[at : at + step]) if index else np.zeros((len(own), 1), np.int64)
+                    cells, v = cells + d * WIDE, cells.shape[1]
+                    visits = [pa.array(np.repeat(own, v)), pa.array(cells.ravel()), pa.array(np.repeat(cells[:, 0], v))]
+                    homes = [pa.array(own), pa.array(cells[:, 0]), pa.array(cells[:, 0])]
+                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * v, pa.int32()), pa.array(cells.ravel()))
+                    for (which, cell, home), seen in ((homes, listed), (visits, pa.nulls(len(own) * v, pa.list_(pa.int64())))):
+                        yield pa.RecordBatch.from_arrays(
+                            [cell, pa.array(np.full(len(cell), seen is listed)), batch.column(0).take(which), batch.column(1).take(which),
+                             home, seen, batch.column(2).take(which)],
+                            ["cell", "at_home", "id", "copies", "home", "visited", "vector"])
+
+    return vectors.select("id", "copies", "vector").mapInArrow(
+        run, f"cell long, at_home boolean, id long, copies long, home long, visited array<long>, vector {kind}")
 
 
 def _shares(vectors: DataFrame, count: QueryLinks) -> list[tuple]:
-    """For ``fit``: the sampled queries against all vectors; a few rows for each index reach the driver."""
+    """For ``fit``: the sampled queries against all vectors of their length; a few rows for each index reach the driver."""
     sent = vectors.sparkSession.sparkContext.broadcast(count)  # codebooks and QUERIES vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,33 +253,61 @@ def _shares(vectors: DataFrame, count: QueryLinks) -> list[tuple]:
 
 
 def _blocks(placed: DataFrame) -> DataFrame:
-    """``cell, ids, vectors``: the rows of a cell in blocks of about ``BLOCK``."""
-    counts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
-    dealt = placed.join(F.broadcast(counts), "cell")  # at most CODEWORDS * CODEWORDS cells
-    block = F.pmod(F.xxhash64("id"), F.col("_blocks")).alias("block")
-    return dealt.select("cell", block, "id", "vector").groupBy("cell", "block").agg(
-        F.collect_list(F.struct("id", "vector")).alias("rows"))
+    """``cell, at_home, rows``: the vectors at home in a cell, and those that visit it, in blocks of about ``BLOCK``."""
+    side = ["cell", "at_home"]
+    counts = placed.groupBy(*side).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    # cells by the merge that splits a full one; those of other lengths have no bound
+    dealt = placed.join(fresh_keys(counts.where("_blocks > 1"), side), side, "left")
+    block = F.pmod(F.xxhash64("id"), F.coalesce("_blocks", F.lit(1))).alias("block")
+    return dealt.select(*side, block, "id", "copies", "home", "visited", "vector").groupBy(*side, "block").agg(
+        F.collect_list(F.struct("id", "copies", "home", "visited", "vector")).alias("rows"))
+
 
+def _met(left: pa.ListScalar, right: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a block at home and a visiting block find: vectors with links, one of their group, and how many links each has.
 
-def _verified(meetings: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, with a cosine of the threshold or more, from blocks that meet."""
+    Two vectors may meet in the homes of both. The pair belongs to the lesser home, if the vector that lives there is
+    met there by the other, as well as the other way round.
+    """
+    (ids, copies, units), (o_ids, o_copies, o_units) = [_matrix(side) for side in (left, right)]
+    home, o_home = [side.values.field("home").to_numpy() for side in (left, right)]
+    visited = left.values.field("visited").flatten().to_numpy().reshape(len(ids), -1)
+    q, x = np.nonzero(units @ o_units.T >= SIMILARITY)
+    same, returned = home[q] == o_home[x], (visited[q] == o_home[x][:, None]).any(axis=1)
+    own = np.where(same, ids[q] < o_ids[x], ~returned | (home[q] < o_home[x]))
+    q, x = q[own], x[own]
+    # a vector of both blocks counts once
+    every = np.unique(np.append(ids[q], o_ids[x]))
+    a, b = np.searchsorted(every, ids[q]), np.searchsorted(every, o_ids[x])
+    links = np.bincount(a, o_copies[x], len(every)) + np.bincount(b, copies[q], len(every))
+    root = np.arange(len(every))
+    while True:
+        least = np.minimum(root[a], root[b])
+        after = root.copy()
+        np.minimum.at(after, a, least)
+        np.minimum.at(after, b, least)
+        after = after[after]
+        if (after == root).all():
+            return every, every[root], links.astype(np.int64)
+        root = after
+
+
+def _linked(meetings: DataFrame) -> DataFrame:
+    """``a, b, links``: a row for each vector with links in a meeting, one of the group it belongs to there, and the
+    number of vectors linked with it there; a pair counts in one meeting."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1)):
-                ids, units = zip(*[_matrix(side) for side in (left, right)])
-                q, x = np.nonzero(units[0] @ units[1].T >= SIMILARITY)
-                a, b = ids[0][q], ids[1][x]
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _met(left, right)], ["a", "b", "links"])
 
-    return meetings.mapInArrow(run, "a long, b long").distinct()
+    return meetings.mapInArrow(run, "a long, b long, links long")
 
 
-def _matrix(side: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(side: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = side.values
-    flat = rows.field("vector")
+    flat = rows.field("vector").flatten().to_numpy(zero_copy_only=False)
     ids = rows.field("id").to_numpy()
-    return ids, unit_vectors(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))
+    return ids, rows.field("copies").to_numpy(), unit_vectors(flat.reshape(len(ids), -1))
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -270,8 +318,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     other vectors linked directly, ``component_id`` is the least id reachable, ``kept`` where that is the own id.
     Equal vectors are compared once and always linked.
 
-    Vectors that are null, zero, hold a null or non-finite component, or are not as long as most link with
-    nothing. Rows with a null id are left out; a repeated id is a vector for each row, all reported under the id.
+    Vectors that are null, zero or hold a null or non-finite component link with nothing. Vectors of different
+    lengths have no cosine; those of each length are compared with each other. Rows with a null id are left out; a repeated id is a vector for each row, all reported under the id.
     An empty table gives an empty result; other columns are ignored.
     """
     spark = prepare(vectors.sparkSession)
@@ -281,28 +329,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull())
     usable = rows.where(_usable(F.col("vector")))
-    length = usable.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    usable = usable.where(F.size("vector") == (length["d"] if length else 0))
     # equal vectors hash alike and are told apart by their components; a hot one is one row per task
     distinct = usable.groupBy("vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     # numbered once, when written: an id of several vectors cannot tell them apart
     distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-vectors")
-    total = distinct.count()
-    if total:
-        sample = distinct.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).collect()
-        index = fit(unit_vectors([r["vector"] for r in sample]), total, lambda count: _shares(distinct, count))
-        # the stage that places the vectors is not run again for each count
-        homes = _blocks(materialize(_placed(distinct, index, False), "homes"))
-        visits = _blocks(materialize(_placed(distinct, index, True), "visits"))
-        met = homes.select("cell", F.col("rows").alias("left")).join(
-            fresh_keys(visits.select("cell", F.col("rows").alias("right")), ["cell"]), "cell")
-        links = materialize(_verified(met.select("left", "right")), "vector-links")
-    else:
-        links = spark.createDataFrame([], "a long, b long")
-    classes = distinct.select("id", "copies")
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ends.join(fresh_keys(classes.withColumnRenamed("id", "b"), ["b"]), "b").groupBy("a").agg(
-        F.sum("copies").alias("others"))
+    # an index for each of the lengths that many vectors have, LENGTHS at most; brute force for the rest
+    lengths = distinct.groupBy(F.size("vector").alias("d")).count().where(F.col("count") >= LARGE)
+    indexes = {}
+    for r in lengths.orderBy(F.desc("count"), "d").limit(LENGTHS).collect():
+        alike = distinct.where(F.size("vector") == r["d"])
+        sample = alike.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).collect()
+        indexes[r["d"]] = fit(unit_vectors([x["vector"] for x in sample]), r["count"], lambda count, alike=alike: _shares(alike, count))
+    # the stage that places the vectors is not run again for the counts
+    blocks = _blocks(materialize(_placed(distinct, indexes), "placed"))
+    met = blocks.where("at_home").select("cell", F.col("rows").alias("left")).join(
+        fresh_keys(blocks.where("NOT at_home").select("cell", F.col("rows").alias("right")), ["cell"]), "cell")
+    links = materialize(_linked(met.select("left", "right")), "vector-links")
+    degree = links.groupBy("a").agg(F.sum("links").alias("others"))
+    links = links.where("a <> b").select("a", "b")
     roots = components(links).withColumnsRenamed({"node": "id", "component": "root"})
     members = materialize(distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -215,7 +215,7 @@ def test_vectors_like_brute_force(spark):
 
 def test_traversal_is_by_distance():
     sample = multi_index.unit_vectors(list(np.random.default_rng(1).normal(size=(300, 8))))
-    index = multi_index.fit(sample, 3000)
+    index = multi_index.candidates(sample, 3000)[0]
     first, second = index.distances(sample)
     total = (first[:, :, None] + second[:, None, :]).reshape(len(sample), -1)
     visited = index.traverse(sample, 20)
@@ -254,14 +254,53 @@ def test_planted_pairs_among_many(spark):
     assert all(rows[i]["n_links"] == 99 for i in range(31_000, 31_100))
 
 
+def test_vectors_of_several_lengths(spark, monkeypatch):
+    """An index for two of the lengths, one cell for each of the others, and a cluster in all of them."""
+    monkeypatch.setattr(multi_index, "LARGE", 300)
+    monkeypatch.setattr(multi_index, "SENT", 10)  # many cells, so that pairs meet in both homes
+    monkeypatch.setattr(multi_index, "BLOCK", 40)
+    draw = np.random.default_rng(12)
+    parts = []
+    for d, n in ((8, 600), (12, 500), (3, 90), (5, 40)):
+        center = draw.normal(size=d)
+        parts.append(np.concatenate([draw.normal(size=(n, d)), center + draw.normal(size=(n // 3, d)) * 0.05]))
+    ids, rows, want = 0, [], {}
+    for v in parts:
+        close = linked(v)
+        for i, c in classes(range(len(v)), zip(*[x.tolist() for x in np.nonzero(np.triu(close, 1))])).items():
+            want[ids + i] = (int(close[i].sum()) - 1, ids + c)
+        rows += [(ids + i, x.tolist()) for i, x in enumerate(v)]
+        ids += len(v)
+    draw.shuffle(rows)
+    df = spark.createDataFrame([(int(i), [float(y) for y in x]) for i, x in rows], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in multi_index.near_vectors(df).collect()}
+    assert all(got[i][0] <= n for i, (n, _) in want.items())  # no pair counts twice
+    assert sum(n for n, _ in got.values()) >= 0.97 * sum(n for n, _ in want.values())
+    assert sum(got[i][1] == c for i, (_, c) in want.items()) >= 0.97 * len(want)
+    brute = range(len(parts[0]) + len(parts[1]), ids)
+    assert all(got[i] == want[i] for i in brute)
+
+
+def test_links_are_not_rows(spark, monkeypatch):
+    """A meeting of blocks sends on a row for each vector, not one for each pair."""
+    v = np.random.default_rng(2).normal(size=16) + np.random.default_rng(3).normal(size=(900, 16)) * 0.01
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    seen = []
+    monkeypatch.setattr(multi_index, "_linked", lambda met, f=multi_index._linked: seen.append(f(met)) or seen[-1])
+    rows = multi_index.near_vectors(df).collect()
+    assert {(r["n_links"], r["component_id"]) for r in rows} == {(899, 0)}
+    assert seen[0].count() <= 2 * 900 * (900 // multi_index.BLOCK + 1)
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]),
-            (9, [1.0, 0.0]), (10, [1.0, 0.0, 0.0]), (11, [-1.0, 0.0]), (11, [1.0, 0.05]), (None, [1.0, 0.0])]
+            (9, [1.0, 0.0]), (10, [1.0, 0.0, 0.0]), (12, [5.0, 0.0, 1.0]), (13, [0.0, 0.0, 1.0]), (14, [3.0]), (15, [0.5]), (11, [-1.0, 0.0]), (11, [1.0, 0.05]), (None, [1.0, 0.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<double>, component_id string")
     got = sorted(tuple(r) for r in multi_index.near_vectors(df).collect())
-    alone = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 10)]
-    assert got == sorted([*alone, (7, 3, 7, True), (8, 3, 7, False), (9, 3, 7, False), (11, 0, 11, True), (11, 3, 7, False)])
+    alone = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 13)]
+    others = [(10, 1, 10, True), (12, 1, 10, False), (14, 1, 14, True), (15, 1, 14, False)]
+    assert got == sorted([*alone, *others, (7, 3, 7, True), (8, 3, 7, False), (9, 3, 7, False), (11, 0, 11, True), (11, 3, 7, False)])
     assert multi_index.near_vectors(df.limit(0)).count() == 0
 
 
@@ -270,3 +309,4 @@ def test_op8_query(spark):
     close = linked([r["embedding"] for r in rows])
     got = {r["vec_id"]: r["n_links"] for r in QUERIES["op8_multi_index"](spark, "/root/testdata/sf0.1").collect()}
     assert len(got) == len(rows) and sum(got.values()) >= 0.9 * (close.sum() - len(rows))
+    assert all(got[r["vec_id"]] <= n - 1 for r, n in zip(rows, close.sum(1)))
