@@ -63,7 +63,7 @@ class FileTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text counts as empty."""
         if not any(text and name in text for text in texts for name in self.names):
-            return self.parts.encode(texts)
+            return self._encode_parts(texts)
         # the library takes added tokens out first, and what stands between them goes through the other steps alone
         stretches: list[str | None] = []
         owners: list[tuple[int, bytes | None]] = []  # the text, and the ids of an added token
@@ -81,12 +81,26 @@ class FileTokenizer:
             else:
                 owners.append((at, None))
                 stretches.append(text)
-        encoded = iter(self.parts.encode(stretches))
+        encoded = iter(self._encode_parts(stretches))
         out: list[list[bytes]] = [[] for _ in texts]
         for at, ids in owners:
             out[at].append(next(encoded) if ids is None else ids)
         return [b"".join(ids) for ids in out]
 
+    def _encode_parts(self, texts: list[str | None]) -> list[bytes]:
+        if self.lower:  # what the file does first anyway; fewer words to remember
+            texts = [text.lower() if text and _latin(text) else text for text in texts]
+        return self.parts.encode(texts)
+
+
+def _latin(text: str) -> bool:
+    """Only characters below U+0100: none of them is composed with another, or changes its number of characters in lower case."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
 def _added_tokens(spec: dict) -> tuple[list[str], re.Pattern, bool]:
     """The added tokens' strings, longest first, a pattern of them, and whether all are found in the text as it stands,

@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable
 #: Words, and pieces of words, a worker remembers at most beyond one batch, and the longest (characters).
 MOST, CHARS = 900_000, 40
 
+_PLAIN = re.compile("[\x00-\u012f\u0131-\u024f]*")
 _RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 # no apostrophe: it may belong to the letters behind it
@@ -30,7 +31,7 @@ def plain(word: str) -> bool:
 
     The dotted capital I is left out: in lower case it ends in a mark, which joins the punctuation behind it.
     """
-    return word.isascii() or max(word) < "\u0250" and "\u0130" not in word
+    return word.isascii() or _PLAIN.fullmatch(word) is not None
 
 
 def as_bytes(ids: Iterable[int]) -> bytes:
