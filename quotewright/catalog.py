@@ -889,6 +889,19 @@ def stream_submit_offers(c: Context) -> DataFrame:
     return intake.current_offers(c.t.bundle(), log, AS_OF).submissions
 
 
+@query
+def stream_compacted_offers(c: Context) -> DataFrame:
+    """The offer requests arrive in two parts; after each the stream's log is compacted into versioned tables."""
+    landing, log = c.path("offer-landing"), c.path("offer-log")
+    versions, requests = _desk(c), _offer_requests(c).select(*OFFER_REQUESTS.names)
+    middle = requests.agg(F.percentile_approx(SEQ, 0.5)).scalar()
+    for part in (F.col(SEQ) <= middle, F.col(SEQ) > middle):
+        requests.where(part).write.mode("append").parquet(landing)
+        intake.stream_offers(c.spark, landing, log, f"{log}-progress").awaitTermination()
+        intake.compact_offers(versions, log, AS_OF)
+    return versions.tables().submissions
+
+
 @query
 def stream_ingest_quotes(c: Context) -> DataFrame:
     """Quote uploads arrive as files; without gaps in ``_seq``, which the log renumbers."""

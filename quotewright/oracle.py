@@ -662,6 +662,7 @@ _TO_DELETE = "SELECT quote_id FROM q WHERE status = 'UPLOADED' AND cond = 'Rp'"
 
 ORACLE |= {
     "versioned_submissions": ORACLE["submit_offers"],
+    "stream_compacted_offers": ORACLE["stream_submit_offers"],
     "versioned_progress": f"""
         SELECT l.quote_id, l.requested, coalesce(o.answered, 0) AS answered, l.closed
         FROM (SELECT quote_id, count(DISTINCT part_no) AS requested,

@@ -3,7 +3,8 @@
 Every method starts from the latest version, applies the change of ``plans.mutations`` to the files that hold a key
 it names, keeps the counts of asked and answered parts up to date, and publishes all of it as the next version. It
 returns how many rows of each table were updated, inserted and deleted. If another change came first, ``Conflict``
-is raised and nothing has happened: call again.
+is raised and nothing has happened: call again. ``base`` starts from a version that was looked at before, and
+``notes`` are published with the change.
 """
 
 from __future__ import annotations
@@ -60,13 +61,13 @@ class Desk:
         return self.store.commit(None, files)
 
     def tables(self, snapshot: Snapshot | None = None) -> Tables:
-        snapshot = snapshot or self._latest()
+        snapshot = snapshot or self.latest()
         return Tables(**{name: self.store.read(snapshot, name) for name in NAMES})
 
     def counts(self, snapshot: Snapshot | None = None) -> DataFrame:
-        return self.store.read(snapshot or self._latest(), COUNTS)
+        return self.store.read(snapshot or self.latest(), COUNTS)
 
-    def _latest(self) -> Snapshot:
+    def latest(self) -> Snapshot:
         found = self.store.latest()
         if found is None:
             raise LookupError(f"no version of the tables in {self.store.root}")
@@ -99,7 +100,9 @@ class Desk:
 
         return self.store.rewrite(base, COUNTS, [(difference, ["quote_id"])], change)
 
-    def _commit(self, base: Snapshot, rewrites: dict[str, Rewrite], promote: DataFrame | None = None) -> Outcome:
+    def _commit(
+        self, base: Snapshot, rewrites: dict[str, Rewrite], promote: DataFrame | None = None, notes: dict[str, int] | None = None,
+    ) -> Outcome:
         """Publish the rewrites with the counts they lead to; ``promote`` names quotes that may now be fully answered."""
         counted = self._count(base, rewrites)
         if promote is not None:
@@ -111,27 +114,30 @@ class Desk:
                 base, "quotes", [(complete, ["quote_id"])], lambda part: progress.promote(part, complete))
         if counted:
             rewrites[COUNTS] = counted
-        return Outcome(self.store.commit(base, {name: r.files for name, r in rewrites.items()}), rewrites)
+        return Outcome(self.store.commit(base, {name: r.files for name, r in rewrites.items()}, notes), rewrites)
 
     # --- quotes and assignments
 
-    def ingest_quotes(self, upload: DataFrame, as_of: str | Column | None = None, number_type: str = "double") -> Outcome:
-        base = self._latest()
+    def ingest_quotes(
+        self, upload: DataFrame, as_of: str | Column | None = None, number_type: str = "double",
+        base: Snapshot | None = None, notes: dict[str, int] | None = None,
+    ) -> Outcome:
+        base = base or self.latest()
         add = lambda part: mutations.ingest_quotes(part, upload, as_of, number_type, self._top(base, "quotes"))
-        return self._commit(base, {"quotes": self.store.rewrite(base, "quotes", [], add)})
+        return self._commit(base, {"quotes": self.store.rewrite(base, "quotes", [], add)}, notes=notes)
 
     def soft_delete(self, ids: DataFrame) -> Outcome:
-        base = self._latest()
+        base = self.latest()
         change = lambda part: mutations.soft_delete(part, ids)
         return self._commit(base, {"quotes": self.store.rewrite(base, "quotes", [(ids, ["quote_id"])], change)})
 
     def complete_refs(self, refs: DataFrame, keep_deleted: bool = False) -> Outcome:
-        base = self._latest()
+        base = self.latest()
         change = lambda part: mutations.complete_refs(part, refs, keep_deleted)
         return self._commit(base, {"quotes": self.store.rewrite(base, "quotes", [(refs, ["customer_ref_no"])], change)})
 
     def purge_deleted(self) -> Outcome:
-        base = self._latest()
+        base = self.latest()
         gone = materialize(mutations.deleted_quote_ids(self.store.read(base, "quotes")), "deleted-quotes")
         change = lambda part: delete_rows(part, gone, ["quote_id"])
         return self._commit(base, {
@@ -139,7 +145,7 @@ class Desk:
             for name in ("quotes", "assignments", "submissions", "final_quotes")})
 
     def assign_quotes(self, requests: DataFrame, as_of: str | Column | None = None) -> Outcome:
-        base = self._latest()
+        base = self.latest()
         some = {name: self._some(base, name, requests, ["quote_id"]) for name in ("quotes", "assignments")}
         rows = materialize(mutations.assignment_rows(
             some["quotes"], some["assignments"], self.store.read(base, "users"), requests, as_of), "accepted-assignments")
@@ -152,14 +158,14 @@ class Desk:
     # --- offers
 
     def _change_offers(self, requests: DataFrame, change) -> Outcome:
-        base = self._latest()
+        base = self.latest()
         return self._commit(base, {"submissions": self.store.rewrite(base, "submissions", [(requests, ["submission_id"])], change)})
 
     def edit_offers(self, edits: DataFrame) -> Outcome:
         return self._change_offers(edits, lambda part: mutations.edit_offers(part, edits))
 
     def send_back(self, requests: DataFrame) -> Outcome:
-        users = self.store.read(self._latest(), "users")
+        users = self.store.read(self.latest(), "users")
         return self._change_offers(requests, lambda part: mutations.send_back(part, requests, users))
 
     def attach_certificates(self, requests: DataFrame) -> Outcome:
@@ -168,19 +174,22 @@ class Desk:
     def resubmit(self, requests: DataFrame, as_of: str | Column | None = None) -> Outcome:
         return self._change_offers(requests, lambda part: mutations.resubmit(part, requests, as_of))
 
-    def submit_offers(self, requests: DataFrame, as_of: str | Column | None = None) -> Outcome:
-        base = self._latest()
+    def submit_offers(
+        self, requests: DataFrame, as_of: str | Column | None = None, base: Snapshot | None = None,
+        notes: dict[str, int] | None = None,
+    ) -> Outcome:
+        base = base or self.latest()
         values = materialize(mutations.offer_values(requests, as_of), "offer-values")
         change = lambda part: mutations.upsert_offers(part, values, self._top(base, "submissions"))
-        return self._commit(base, {"submissions": self.store.rewrite(base, "submissions", [(values, OFFER)], change)}, promote=values)
+        return self._commit(base, {"submissions": self.store.rewrite(base, "submissions", [(values, OFFER)], change)}, values, notes)
 
     def mark_no_quote(self, requests: DataFrame, as_of: str | Column | None = None) -> Outcome:
-        base = self._latest()
+        base = self.latest()
         change = lambda part: mutations.mark_no_quote(part, requests, as_of, self._top(base, "submissions"))
         return self._commit(base, {"submissions": self.store.rewrite(base, "submissions", [(requests, [*PART, "worker_id"])], change)})
 
     def offer_from_no_quote(self, requests: DataFrame, as_of: str | Column | None = None) -> Outcome:
-        base = self._latest()
+        base = self.latest()
         values = mutations.no_quote_values(requests, as_of)
         named = values.select(F.col("target").alias("submission_id"))
         change = lambda part: mutations.claim_no_quotes(part, values, self._top(base, "submissions"))
@@ -190,7 +199,7 @@ class Desk:
     # --- pricing
 
     def save_final(self, grid: DataFrame, as_of: str | Column | None = None) -> Outcome:
-        base = self._latest()
+        base = self.latest()
         top = self._top(base, "final_quotes")
         change = lambda part: mutations.save_final(part, grid, as_of, top)
         return self._commit(base, {"final_quotes": self.store.rewrite(base, "final_quotes", [(grid, ["quote_id"])], change)})

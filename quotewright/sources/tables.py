@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import date_text, null_if_token, to_date
+from ..operators.joins import lookup
 from ..operators.numbering import with_position
 from ..schemas import SEQ, column_name
 from ..session import materialize
+from .records import read_records
 
 _SURPLUS = "_surplus"
 _NO_DATA = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
@@ -71,6 +73,30 @@ def read_table(
     return enforce_schema(numbered, schema)
 
 
+def read_split_table(spark: SparkSession, path: str, schema: T.StructType, number_rows: bool = False) -> DataFrame:
+    """``read_table`` for files of any size with line breaks inside fields, split by byte ranges (``sources.records``).
+
+    A row with a field too many is skipped, also if that field is empty; a short row is padded with nulls. Files have
+    a heading row each, all the same. ``number_rows`` fills ``_seq`` from the place of the record.
+    """
+    headings = _csv_columns(spark, path)
+    if not headings:
+        return empty_table(spark, schema)
+    records = read_records(spark, path)
+    # the first record of a file is its heading row
+    heads = records.where("range = 0").groupBy("file").agg(F.min("line").alias("line")).withColumn("range", F.lit(0).cast("bigint"))
+    rows = lookup(records, heads.withColumn("_head", F.lit(True)), ["file", "range", "line"])
+    rows = rows.where(F.col("_head").isNull() & (F.col("fields") <= len(headings)))
+    layout = ", ".join(f"`{h}` string" for h in headings)
+    parsed = rows.withColumn("_fields", F.from_csv("record", layout, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}))
+    columns = [F.col("_fields").getField(h).alias(column_name(h)) for h in headings]
+    if not number_rows:
+        return enforce_schema(null_tokens(parsed.select(columns)), schema)
+    columns = [c for c, h in zip(columns, headings) if column_name(h) != SEQ]
+    placed = null_tokens(parsed.select(*columns, F.col("file").alias("_file"), F.col("range").alias("_block"), F.col("line").alias("_number")))
+    return enforce_schema(with_position(placed, ["_file", "_block", "_number"], SEQ), schema)
+
+
 def null_tokens(df: DataFrame) -> DataFrame:
     """Text that stands for a missing value becomes null, in every text column."""
     return df.select(

@@ -59,8 +59,11 @@ class File:
 
 @dataclass(frozen=True)
 class Snapshot:
+    """One version; ``notes`` are numbers that a change left with it, such as how far a log has been applied."""
+
     number: int
     files: dict[str, tuple[File, ...]]
+    notes: dict[str, int] = field(default_factory=dict)
 
     def rows(self, name: str) -> int:
         return sum(f.rows for f in self.files.get(name, ()))
@@ -94,21 +97,25 @@ class Store:
 
     def at(self, number: int) -> Snapshot:
         text = json.loads(read_text(self.spark, self._manifest(number)))
-        return Snapshot(number, {name: tuple(File(**f) for f in files) for name, files in text["files"].items()})
+        return Snapshot(number, {name: tuple(File(**f) for f in files) for name, files in text["files"].items()}, text["notes"])
 
     def _manifest(self, number: int) -> str:
         return f"{self.root}/manifests/{number:012d}.json"
 
-    def commit(self, base: Snapshot | None, changed: dict[str, tuple[File, ...]]) -> Snapshot:
-        """Make the changed tables, and the others as in ``base``, the next version; ``Conflict`` if there is one already."""
+    def commit(
+        self, base: Snapshot | None, changed: dict[str, tuple[File, ...]], notes: dict[str, int] | None = None,
+    ) -> Snapshot:
+        """Make the changed tables and notes, and the others as in ``base``, the next version; ``Conflict`` if there is
+        one already."""
         number = base.number + 1 if base else 0
         files = {**(base.files if base else {}), **changed}
-        text = json.dumps({"files": {name: [asdict(f) for f in some] for name, some in files.items()}})
+        notes = {**(base.notes if base else {}), **(notes or {})}
+        text = json.dumps({"files": {name: [asdict(f) for f in some] for name, some in files.items()}, "notes": notes})
         try:
             publish_text(self.spark, self._manifest(number), text)
         except FileExistsError as e:
             raise Conflict(f"version {number} exists") from e
-        return Snapshot(number, files)
+        return Snapshot(number, files, notes)
 
     # --- data
 

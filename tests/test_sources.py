@@ -1,11 +1,15 @@
+import random
+
 import pytest
 from helpers import dicts
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from quotewright.schemas import ASSIGNMENTS, SEQ
+from quotewright.schemas import ASSIGNMENTS, NULL_TOKENS, SEQ
 from quotewright.session import scratch_path
 from quotewright.sources import tables as src
 from quotewright.sources.attachments import stored_files
+from quotewright.sources.records import read_records
+from quotewright.sources.tables import read_split_table
 
 THREE = T.StructType([T.StructField(c, T.StringType()) for c in "abc"])
 
@@ -95,3 +99,69 @@ def test_stored_files(spark, tmp_path):
     df = stored_files(spark, str(tmp_path))
     assert df.collect() == [("a.pdf", 3)]
     assert "content" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+DIRT = ["plain", "", 'two "words"', "line\nbreak", "a,b", '"', "\n", "é\n\n,x", "NaN", 'end"', ",", " space ", "\n\"\n", "tail,\n"]
+
+
+def dirty_csv(draw, rows, newline="\n"):
+    """Rows of three fields, some short, some with a field too many, an empty one among those."""
+    quoted = lambda v: '"' + v.replace('"', '""') + '"'
+    out, want = [newline.join(['"A","B","C"'])], []
+    for _ in range(rows):
+        fields = [draw.choice(DIRT) for _ in range(draw.choice([3, 3, 3, 2, 1, 4]))]
+        line = ",".join(quoted(v) if draw.random() < 0.6 or set(v) & set('",\n') else v for v in fields)
+        if draw.random() < 0.2 and len(fields) == 3:
+            line, fields = line + ",", [*fields, ""]
+        if not line:
+            continue
+        out.append(line.replace("\n", newline))
+        if len(fields) <= 3:
+            fields = [None if v in NULL_TOKENS else v for v in fields]
+            want.append((*fields, *[None] * (3 - len(fields))))
+    return newline.join(out) + newline, want
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_split_csv_on_random_dirt(spark, tmp_path, newline):
+    """Cut at many different byte ranges, every cut gives the rows that one piece gives."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in "abc"] + [T.StructField(SEQ, T.LongType())])
+    draw = random.Random(11)
+    text, want = dirty_csv(draw, 120, newline)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "one.csv").write_bytes(text.encode())
+    size = len(text.encode())
+    for cut in (size * 2, size // 3 + 1, 97, 41):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(cut))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            rows = read_split_table(spark, str(folder), schema, number_rows=True)
+            got = [tuple(r)[:3] for r in rows.orderBy(SEQ).collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == want, cut
+
+
+def test_every_cut_of_a_small_file(spark, tmp_path):
+    text = 'A,B\n"x\n""y""",1\n2,"z\n\n"\n3,\n"",4,\n'
+    (tmp_path / "f.csv").write_text(text)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for cut in range(1, len(text) + 1, 3):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(cut))
+            records = sorted((r["range"], r["line"], r["record"], r["fields"]) for r in read_records(spark, str(tmp_path)).collect())
+            assert [r[2:] for r in records] == [("A,B", 2), ('"x\n""y""",1', 2), ('2,"z\n\n"', 2), ("3,", 2), ('"",4,', 3)], cut
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_split_csv_of_several_files(spark, tmp_path):
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("b", "x", "a")])
+    for n in range(3):
+        (tmp_path / f"{n}.csv").write_text(f'A,B\n{n},"l\n{n}"\n')
+    got = sorted(map(tuple, read_split_table(spark, str(tmp_path), schema).collect()))
+    assert got == [(f"l\n{n}", None, f"{n}") for n in range(3)]
+    assert read_split_table(spark, str(tmp_path / "none"), schema).count() == 0
