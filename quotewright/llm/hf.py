@@ -10,12 +10,14 @@ import re
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-from .parts import PartEncoder, as_bytes, plain
+from .parts import PartEncoder, as_bytes, cut, plain
 
 # the characters that byte-level vocabularies write for bytes without a printable one of their own
 _HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 _VISIBLE = {byte: 0x100 + place for place, byte in enumerate(_HIDDEN)}
 
+_CONTROL = re.compile("[\x1c-\x1f]")  # white space to Python alone
+
 _loaded: dict[bytes, FileTokenizer] = {}
 
 
@@ -33,7 +35,7 @@ class FileTokenizer:
         self.names, self.added, self.apart = _added_tokens(json.loads(content))
         self.model = self.tokenizer.model
         self.space, self.lower = _letters_only(json.loads(content))
-        self.parts = PartEncoder(self._ids)
+        self.parts = PartEncoder(self._ids, _cut_lower if self.lower else cut)
 
     @classmethod
     def of(cls, content: bytes) -> FileTokenizer:
@@ -63,7 +65,7 @@ class FileTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text counts as empty."""
         if not any(text and name in text for text in texts for name in self.names):
-            return self._encode_parts(texts)
+            return self.parts.encode(texts)
         # the library takes added tokens out first, and what stands between them goes through the other steps alone
         stretches: list[str | None] = []
         owners: list[tuple[int, bytes | None]] = []  # the text, and the ids of an added token
@@ -81,20 +83,25 @@ class FileTokenizer:
             else:
                 owners.append((at, None))
                 stretches.append(text)
-        encoded = iter(self._encode_parts(stretches))
+        encoded = iter(self.parts.encode(stretches))
         out: list[list[bytes]] = [[] for _ in texts]
         for at, ids in owners:
             out[at].append(next(encoded) if ids is None else ids)
         return [b"".join(ids) for ids in out]
 
-    def _encode_parts(self, texts: list[str | None]) -> list[bytes]:
-        if self.lower:  # what the file does first anyway; fewer words to remember
-            texts = [text.lower() if text and _latin(text) else text for text in texts]
-        return self.parts.encode(texts)
+
+def _cut_lower(text: str) -> tuple[str, list[str]]:
+    """Where letters are lower-cased and white space is dropped, a text of Latin-1 is cut at all white space.
+
+    None of its characters is composed with another or grows in lower case, and what splits it here is white space there.
+    """
+    if text.isascii() or _latin(text):
+        if not _CONTROL.search(text):
+            return "", text.lower().split()
+    return cut(text)
 
 
 def _latin(text: str) -> bool:
-    """Only characters below U+0100: none of them is composed with another, or changes its number of characters in lower case."""
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:

@@ -54,8 +54,10 @@ def cut(text: str) -> tuple[str, list[str]]:
 class PartEncoder:
     """``encode_many`` turns parts into ids packed by ``as_bytes``; it gets no part twice while that is remembered."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]) -> None:
-        self.encode_many = encode_many
+    def __init__(
+        self, encode_many: Callable[[list[str]], list[bytes]], cut: Callable[[str], tuple[str, list[str]]] = cut,
+    ) -> None:
+        self.encode_many, self.cut = encode_many, cut
         self.words: dict[str, bytes] = {}  # by the word without the space before it
         self.pieces: dict[str, bytes] = {}  # by the piece as it stands
 
@@ -89,10 +91,10 @@ class PartEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; a null text counts as empty."""
         words = self.words
-        cuts = [cut(text or "") for text in texts]
+        cuts = [self.cut(text or "") for text in texts]
         new = set().union(*[later for _, later in cuts]).difference(words)
         new.update(self._learn(list(new)))
-        heads = self.encode_many([head for head, _ in cuts])
+        heads = self.encode_many([head for head, _ in cuts]) if any(head for head, _ in cuts) else [b""] * len(cuts)
         found = words.__getitem__
         out = [head + b"".join(map(found, later)) for head, (_, later) in zip(heads, cuts)]
         _shrink(words, new)

@@ -158,11 +158,11 @@ spans AS (
     ELSE true END),
 pairs AS (
   SELECT i.r, i.rank AS i_rank, i.a AS i_a, i.e AS i_e, s.rank AS s_rank, s.a AS s_a, s.e AS s_e, i.weak AND s.weak AS both_weak
-  FROM spans i JOIN spans s ON i.r = s.r AND abs(i.a - s.a) <= {secrets.SCOPE}
+  FROM spans i JOIN spans s ON i.r = s.r AND greatest(i.a - s.e, s.a - i.e) <= {secrets.SCOPE}
   WHERE i.role = 'identifier' AND s.role = 'secret'),
 completed AS (
   SELECT q.*, n.rank AS n_rank, n.a AS n_a, n.e AS n_e
-  FROM pairs q JOIN spans n ON q.r = n.r AND n.role = 'endpoint' AND abs(q.i_a - n.a) <= {secrets.SCOPE}
+  FROM pairs q JOIN spans n ON q.r = n.r AND n.role = 'endpoint' AND greatest(q.i_a - n.e, n.a - q.i_e) <= {secrets.SCOPE}
   WHERE q.both_weak),
 reported AS (
   SELECT r, i_rank AS rank, i_a AS a, i_e AS e FROM pairs WHERE NOT both_weak
@@ -171,7 +171,7 @@ reported AS (
   UNION SELECT r, s_rank, s_a, s_e FROM completed
   UNION SELECT r, n_rank, n_a, n_e FROM completed
   UNION SELECT n.r, n.rank, n.a, n.e FROM spans s JOIN spans n
-    ON s.r = n.r AND s.role = 'secret' AND NOT s.weak AND n.role = 'endpoint' AND abs(s.a - n.a) <= {secrets.SCOPE}),
+    ON s.r = n.r AND s.role = 'secret' AND NOT s.weak AND n.role = 'endpoint' AND greatest(s.a - n.e, n.a - s.e) <= {secrets.SCOPE}),
 listed AS (
   SELECT r, rank, kind, weak, a, e FROM spans WHERE NOT weak
   UNION ALL SELECT r, rank, kind, weak, a, e FROM reported JOIN kinds USING (rank) WHERE weak),

@@ -3,19 +3,25 @@
 A credential often has several parts: an access identifier, a secret and an endpoint. Strong parts (the base
 kinds) are always reported. Weak ones - a login name, an unmarked random string, a service address - are common
 in clean texts; they are reported only where parts that complete each other lie within one scope. Parts of all
-texts are joined by interval: texts are divided into stretches as long as a scope, parts meet in the same or
-the next stretch, and the distance decides. That bounds the work by the text, however many parts it holds.
+texts are joined by interval: texts are divided into stretches as long as a scope, a part lies in every stretch it
+covers, parts meet in the same or a neighbouring stretch, and the gap between them decides. That bounds the work by
+the text, however many parts it holds. Places are summed up in groups of ``GROUP`` matches, so that a text with very
+many of them costs what it holds and not the square of it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Two parts belong together if their starts are at most so many code points apart.
+#: Two parts belong together if at most so many code points lie between them.
 SCOPE = 160
+#: Matches that are folded one by one into a growing list or text.
+GROUP = 128
 
 VALUE = r"[A-Za-z0-9+/_.=-]"
 # kind, pattern, role, weak: in the order in which kinds at the same start are listed (fixed values)
@@ -44,18 +50,45 @@ def _spans(found: Column, rank: int, kind: str, pattern: str) -> Column:
     """
     none = F.array().cast(_SPAN)
     between = F.slice(F.split("_text", pattern, -1), 1, F.size(found))
-    steps = F.zip_with(between, found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+    steps = F.zip_with(between, found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
+        start = state["at"] + x["gap"]
         end = start + F.length(x["match"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
         longer = F.array_append(state["out"], span)
         out = F.when(_long_enough(kind, pattern, x["match"]), longer).otherwise(state["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
-    empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(steps, empty, step, lambda state: state["out"]))
+    def placed(groups: Column) -> Column:
+        sizes = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["match"])))
+        return F.flatten(F.zip_with(groups, _before_each(sizes, F.lit(0), lambda n, x: n + x), lambda g, at: F.aggregate(
+            g, F.struct(at.alias("at"), none.alias("out")), step, lambda state: state["out"])))
+
+    return F.when(F.size(found) == 0, none).otherwise(_let(_groups(steps), placed))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used, also inside of lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _groups(items: Column) -> Column:
+    """An array that is not empty, in arrays of ``GROUP``."""
+    def cut(held: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / GROUP).cast("int"))
+        return F.transform(numbers, lambda k: F.slice(held, k * GROUP + 1, F.lit(GROUP)))
+
+    return _let(items, cut)
+
+
+def _before_each(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each value what the values before it come to."""
+    def before(held: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(held) - 1)
+        return F.transform(numbers, lambda k: F.aggregate(F.slice(held, F.lit(1), k), zero, merge))
+
+    return _let(values, before)
 
 
 def _listed(spans: Column) -> Column:
@@ -106,20 +139,21 @@ def link_parts(parts: DataFrame) -> DataFrame:
         .select("doc_id", "_hash", F.explode("_all").alias("s"))
         .select("doc_id", "_hash", "s", F.element_at(role, F.col("s.rank")).alias("role"),
                 F.element_at(weak, F.col("s.rank")).alias("is_weak"),
-                F.floor(F.col("s.start") / SCOPE).alias("_stretch"))
+                F.floor(F.col("s.start") / SCOPE).alias("_first"), F.floor(F.col("s.end") / SCOPE).alias("_last"))
     )
 
     def near(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs within a scope; columns of ``right`` get the prefix ``o_``."""
-        meeting = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("_stretch") + d))
+        """Pairs within a scope, each once: in the first stretch they share. Columns of ``right`` get the prefix ``o_``."""
         other = right.select(
             F.col("doc_id").alias("o_id"), F.col("_hash").alias("o_hash"), F.col("s").alias("o_s"),
-            F.col("is_weak").alias("o_weak"), F.col("_stretch").alias("o_stretch"))
-        return left.withColumn("_meet", meeting).join(
+            F.col("is_weak").alias("o_weak"), F.col("_first").alias("o_first"),
+            F.explode(F.sequence("_first", "_last")).alias("o_meet"))
+        gap = F.greatest(F.col("s.start") - F.col("o_s.end"), F.col("o_s.start") - F.col("s.end"))
+        return left.withColumn("_meet", F.explode(F.sequence(F.col("_first") - 1, F.col("_last") + 1))).join(
             other,
             F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("_hash") == F.col("o_hash"))
-            & (F.col("_meet") == F.col("o_stretch"))
-            & (F.abs(F.col("s.start") - F.col("o_s.start")) <= SCOPE),
+            & (F.col("_meet") == F.col("o_meet")) & (F.col("_meet") == F.greatest(F.col("_first") - 1, F.col("o_first")))
+            & (gap <= SCOPE),
         )
 
     def of(name: str) -> DataFrame:
@@ -129,7 +163,7 @@ def link_parts(parts: DataFrame) -> DataFrame:
     pairs = near(of("identifier"), of("secret"))
     strong = pairs.where(~F.col("is_weak") | ~F.col("o_weak"))
     both_weak = pairs.where(F.col("is_weak") & F.col("o_weak")).select(
-        *key, "s", F.col("o_s").alias("s2"), "is_weak", "_stretch")
+        *key, "s", F.col("o_s").alias("s2"), "is_weak", "_first", "_last")
     completed = near(both_weak, of("endpoint"))
     served = near(of("secret").where(~F.col("is_weak")), of("endpoint"))
     reported = (
@@ -171,17 +205,29 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _masked(text: Column, spans: Column, mask: str) -> Column:
-    """The text with each span, or run of overlapping spans, replaced."""
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        fresh = span["start"] >= state["at"]
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(F.array_sort(spans), start, step, rest))
+    """The text with each span, or run of overlapping spans, replaced; a group of spans at a time."""
+    def one(group: Column, begin: Column) -> Column:
+        # the part of the text from where the groups before end to where this one does
+        part = F.substr(text, begin + 1, F.greatest(begin, F.array_max(F.transform(group, lambda s: s["end"]))) - begin)
+
+        def step(state: Column, span: Column) -> Column:
+            gap = F.substr(state["part"], state["at"] - begin + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
+            fresh = span["start"] >= state["at"]
+            return F.struct(
+                F.greatest(state["at"], span["end"]).alias("at"),
+                F.when(fresh, F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"),
+                state["part"].alias("part"))
+
+        start = F.struct(begin.alias("at"), F.lit("").alias("out"), part.alias("part"))
+        return F.aggregate(group, start, step, lambda state: state["out"])
+
+    def whole(groups: Column) -> Column:
+        tops = F.transform(groups, lambda g: F.array_max(F.transform(g, lambda s: s["end"])))
+        begins = _before_each(tops, F.lit(0), lambda top, x: F.greatest(top, x))
+        rest = F.substr(text, F.array_max(tops) + 1, F.length(text))
+        return F.concat(F.array_join(F.zip_with(groups, begins, one), ""), rest)
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(_groups(F.array_sort(spans)), whole))
 
 
 def mask_secrets(docs: DataFrame, mask: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

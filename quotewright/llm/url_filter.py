@@ -19,29 +19,45 @@ GRAMS, BUCKETS = (3, 4), 1 << 12
 #: A URL without a rule is blocked from this probability on.
 THRESHOLD = 0.5
 
-# Labelled URLs (fixed values): hosts to block and to allow, each seen with the paths below.
-BLOCKED_HOSTS = [
-    "casino-win.example.com", "www.best-casino.example.net", "m.casino-bonus.example.org", "free-bets.example.com",
-    "bets-live.example.net", "www.free-spins.example.com", "cheap-pills.example.com", "pills-online.example.net",
-    "www.cheap-meds.example.org", "adult-x.example.net", "m.adult-cams.example.com", "xxx-adult.example.org",
-    "ads-track.example.com", "track-ads.example.net", "www.ads-click.example.org", "spam-farm.example.com",
-    "link-farm.example.net", "spam-links.example.org", "win-prize.example.com", "free-money.example.net",
+# Words of host names to block and to allow. Hosts of the first lists are learned from, those of the second are for
+# measuring: they share no word with the first.
+BLOCKED_WORDS = "casino bets pills meds adult cams spam ads track prize money win farm cheap click free".split()
+ALLOWED_WORDS = "library museum garden history weather rivers school kitchen archive bridges trails cycling physics poems maps council".split()
+BLOCKED_UNSEEN = "poker slots jackpot tablets dating popup phish warez lotto loans".split()
+ALLOWED_UNSEEN = "cathedral botany fisheries chess astronomy carpentry parish meadow railway pottery".split()
+# Paths that speak for one of the two, and paths that both kinds of hosts have.
+BLOCKED_PATHS = [
+    "/bonus/claim-now", "/free-spins/today", "/buy/cheap-online", "/click/out.php", "/go/offer-limited", "/win/jackpot.html",
+    "/xxx/live-cams", "/promo/exclusive-deal",
 ]
-ALLOWED_HOSTS = [
-    "thter.example.com", "www.thoner.example.net", "blog.thand.example.org", "m.thing.example.com",
-    "news.theran.example.net", "tionble.example.com", "blog.tionsh.example.net", "www.thentre.example.org",
-    "library.example.com", "www.city-museum.example.net", "docs.garden.example.org", "blog.history.example.com",
-    "m.weather.example.net", "wiki.rivers.example.org", "www.school.example.com", "recipes.kitchen.example.net",
-    "music.archive.example.org", "blog.bridges.example.com", "maps.trails.example.net", "forum.cycling.example.org",
+ALLOWED_PATHS = [
+    "/articles/2023/spring", "/docs/guide/index.html", "/wiki/Old_bridges", "/blog/2021/05/notes", "/lessons/grade-4",
+    "/recipes/apple-pie", "/about/people", "/collections/maps",
 ]
-PATHS = ["/", "/en/4", "/fr/310", "/de/77/", "/es/905.html"]
+SHARED_PATHS = ["/", "/en/4", "/fr/310", "/de/77/", "/es/905.html"]
+PREFIXES, ENDINGS = ["", "www.", "m."], ["example.com", "example.net", "example.org"]
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """``url, blocked`` (1.0 or 0.0): every labelled host with every path."""
-    rows = [(f"https://{host}{path}", label) for hosts, label in ((BLOCKED_HOSTS, 1.0), (ALLOWED_HOSTS, 0.0))
-            for host in hosts for path in PATHS]
-    return spark.createDataFrame(rows, "url string, blocked double").coalesce(1)
+def _hosts(words: list[str]) -> list[str]:
+    """Two words each, every word in several hosts."""
+    n = len(words)
+    pairs = [(words[i], words[(i + step) % n]) for i in range(n) for step in (1, 3, 7)]
+    return [f"{PREFIXES[k % 3]}{a}-{b}.{ENDINGS[k // 3 % 3]}" for k, (a, b) in enumerate(pairs)]
+
+
+def labelled_urls(spark: SparkSession, unseen: bool = False) -> DataFrame:
+    """``url, blocked`` (1.0 or 0.0), a few hundred rows: each host with paths of its kind and shared ones.
+
+    With ``unseen`` the hosts that nothing is learned from.
+    """
+    lists = ((BLOCKED_UNSEEN, BLOCKED_PATHS, 1.0), (ALLOWED_UNSEEN, ALLOWED_PATHS, 0.0)) if unseen else (
+        (BLOCKED_WORDS, BLOCKED_PATHS, 1.0), (ALLOWED_WORDS, ALLOWED_PATHS, 0.0))
+    rows = [
+        (f"https://{host}{path}", label)
+        for words, own, label in lists for k, host in enumerate(_hosts(words))
+        for path in (own[k % len(own)], own[(3 * k + 1) % len(own)], SHARED_PATHS[k % 5], SHARED_PATHS[(k + 2) % 5])
+    ]
+    return spark.createDataFrame(rows, "url string, blocked double").distinct().coalesce(1)
 
 
 def _rest(url: Column) -> Column:

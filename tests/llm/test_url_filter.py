@@ -27,7 +27,7 @@ def grams(host, path):
 
 URLS = [None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/en/12", "https://example.org/en/2#x", "https://example.org/es/1",
         "http://sub.example.org:80/es/1", "http://a.com/fr/1?x=://b.com/de/", "x://a.com/de", "x://a.com/de/", "x://com/fr/", "x://org",
-        "x://org/", "x://borg/", "x://\u0130.com/\nfr?", "x://casino-win.example.net/en/9", "y://" + "long" * 5000 + "/z" * 5000]
+        "x://org/", "x://borg/", "x://\u0130.com/\nfr?", "x://casino-win.example.net/en/9", "x://poker-den.example.net/bonus/claim-now", "y://" + "long" * 5000 + "/z" * 5000]
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +62,23 @@ def test_model_tells_labelled_urls_apart(spark, model):
     assert sum((r["verdict"] == "block") == (r["page_id"] == 1.0) for r in judged) >= 0.98 * len(judged)
 
 
+def test_unseen_hosts(spark, model):
+    """Hosts that share no word with those learned from: their paths tell them apart."""
+    learned = {w for words in (url_filter.BLOCKED_WORDS, url_filter.ALLOWED_WORDS) for w in words}
+    unseen = [*url_filter.BLOCKED_UNSEEN, *url_filter.ALLOWED_UNSEEN]
+    assert learned.isdisjoint(unseen)
+    labelled = url_filter.labelled_urls(spark, unseen=True).withColumnRenamed("blocked", "page_id")
+    judged = url_filter.filter_urls(labelled, [], model).collect()
+    right = {shared: [(r["verdict"] == "block") == (r["page_id"] == 1.0) for r in judged if (r["path"] in url_filter.SHARED_PATHS) == shared]
+             for shared in (True, False)}
+    assert len(right[False]) > 100 and sum(right[False]) >= 0.95 * len(right[False])
+    # a shared path of an unknown host says nothing, and nothing is no reason to block
+    harmless = [r for r in judged if r["page_id"] == 0.0]
+    assert sum(r["verdict"] == "allow" for r in harmless) >= 0.97 * len(harmless)
+    hosts = {h for r in table("pages") for h in [parts(r["url"])[0]]}
+    assert not {r["host"] for r in judged} & hosts
+
+
 def test_query(spark, model):
     pages = table("pages")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"])
