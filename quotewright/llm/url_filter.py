@@ -38,25 +38,27 @@ SHARED_PATHS = ["/", "/en/4", "/fr/310", "/de/77/", "/es/905.html"]
 PREFIXES, ENDINGS = ["", "www.", "m."], ["example.com", "example.net", "example.org"]
 
 
-def _hosts(words: list[str]) -> list[str]:
+def _hosts(words: list[str], steps: tuple[int, ...]) -> list[str]:
     """Two words each, every word in several hosts."""
     n = len(words)
-    pairs = [(words[i], words[(i + step) % n]) for i in range(n) for step in (1, 3, 7)]
+    pairs = [(words[i], words[(i + step) % n]) for i in range(n) for step in steps]
     return [f"{PREFIXES[k % 3]}{a}-{b}.{ENDINGS[k // 3 % 3]}" for k, (a, b) in enumerate(pairs)]
 
 
 def labelled_urls(spark: SparkSession, unseen: bool = False) -> DataFrame:
     """``url, blocked`` (1.0 or 0.0), a few hundred rows: each host with paths of its kind and shared ones.
 
-    With ``unseen`` the hosts that nothing is learned from.
+    As on the web, more hosts are harmless than not, and shared paths are mostly theirs: a URL that tells nothing is
+    allowed. With ``unseen`` the hosts that nothing is learned from.
     """
     lists = ((BLOCKED_UNSEEN, BLOCKED_PATHS, 1.0), (ALLOWED_UNSEEN, ALLOWED_PATHS, 0.0)) if unseen else (
         (BLOCKED_WORDS, BLOCKED_PATHS, 1.0), (ALLOWED_WORDS, ALLOWED_PATHS, 0.0))
-    rows = [
-        (f"https://{host}{path}", label)
-        for words, own, label in lists for k, host in enumerate(_hosts(words))
-        for path in (own[k % len(own)], own[(3 * k + 1) % len(own)], SHARED_PATHS[k % 5], SHARED_PATHS[(k + 2) % 5])
-    ]
+    rows = []
+    for words, own, label in lists:
+        steps, shared = ((1, 3), 1) if label else ((1, 2, 3, 5, 7), 4)
+        for k, host in enumerate(_hosts(words, steps)):
+            paths = [own[k % len(own)], own[(3 * k + 1) % len(own)], *[SHARED_PATHS[(k + j) % 5] for j in range(shared)]]
+            rows += [(f"https://{host}{path}", label) for path in paths]
     return spark.createDataFrame(rows, "url string, blocked double").distinct().coalesce(1)
 
 

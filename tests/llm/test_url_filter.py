@@ -74,7 +74,7 @@ def test_unseen_hosts(spark, model):
     assert len(right[False]) > 100 and sum(right[False]) >= 0.95 * len(right[False])
     # a shared path of an unknown host says nothing, and nothing is no reason to block
     harmless = [r for r in judged if r["page_id"] == 0.0]
-    assert sum(r["verdict"] == "allow" for r in harmless) >= 0.97 * len(harmless)
+    assert sum(r["verdict"] == "allow" for r in harmless) >= 0.95 * len(harmless)
     hosts = {h for r in table("pages") for h in [parts(r["url"])[0]]}
     assert not {r["host"] for r in judged} & hosts
 
