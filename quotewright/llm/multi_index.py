@@ -256,8 +256,9 @@ def _blocks(placed: DataFrame) -> DataFrame:
     """``cell, at_home, rows``: the vectors at home in a cell, and those that visit it, in blocks of about ``BLOCK``."""
     side = ["cell", "at_home"]
     counts = placed.groupBy(*side).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
-    # cells by the merge that splits a full one; those of other lengths have no bound
-    dealt = placed.join(fresh_keys(counts.where("_blocks > 1"), side), side, "left")
+    # full cells only: at most CODEWORDS * CODEWORDS for each of LENGTHS lengths, and one for any other length; a shuffle
+    # by cell would bring all of a hot one to one task
+    dealt = placed.join(F.broadcast(counts.where("_blocks > 1")), side, "left")
     block = F.pmod(F.xxhash64("id"), F.coalesce("_blocks", F.lit(1))).alias("block")
     return dealt.select(*side, block, "id", "copies", "home", "visited", "vector").groupBy(*side, "block").agg(
         F.collect_list(F.struct("id", "copies", "home", "visited", "vector")).alias("rows"))
