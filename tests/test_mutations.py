@@ -277,6 +277,13 @@ def margin_tables(spark):
     return q, s, f
 
 
+def test_margin_grid_reads_stored_lines(spark):
+    q, s, f = margin_tables(spark)
+    plan = pricing.margin_grid(q, s, f)._jdf.queryExecution().optimizedPlan().toString()
+    # no way of the grid looks for the first status of each ref again
+    assert "first_status" not in plan and "min_by" not in plan
+
+
 def test_margin_grid(spark):
     q, s, f = margin_tables(spark)
     grid = pricing.margin_grid(q, s, f)
