@@ -11,7 +11,7 @@ from quotewright.plans.versioned import COUNTS, NAMES, Desk
 from quotewright.schemas import OFFER_REQUESTS, SEQ, UPLOAD
 from quotewright.session import scratch_path
 from quotewright.sources import files
-from quotewright.sources.versions import Conflict
+from quotewright.sources.versions import BEFORE, Conflict
 
 DAY = "2024-06-30"
 
@@ -197,3 +197,22 @@ def test_no_version_yet(spark):
         {"quote_id": "q", "part_no": "A", "supplier": "X", "price": "1", "certificate_available": "NO"}]), DAY)
     assert outcome.affected() == {"submissions": (0, 1, 0), "quotes": (0, 0, 0)}
     assert desk.tables().submissions.first().submission_id == "SUB0001"
+
+
+def test_a_change_carries_a_hash_of_each_row(spark):
+    t = bundle(spark, q=[{"quote_id": "a", "due_date": None, "cond": "x"}, {"quote_id": "b", "due_date": "y", "cond": "z"}])
+    desk = Desk(spark, scratch_path(spark, "desk"))
+    base = desk.create(t)
+    kinds = []
+
+    def moved(part):
+        kinds.append(part.schema[BEFORE].dataType.simpleString())
+        # the same values in other places, one of them null
+        swap = F.col("quote_id") == "a"
+        return part.withColumns({"cond": F.when(~swap, F.col("cond")), "due_date": F.when(swap, F.col("cond")).otherwise(F.col("due_date"))})
+
+    done = desk.store.rewrite(base, "quotes", [(t.quotes.where("quote_id = 'a'"), ["quote_id"])], moved)
+    assert kinds == ["bigint"]
+    assert (done.inserted, done.deleted) == (0, 0) and done.updated >= 1
+    same = desk.store.rewrite(base, "quotes", [(t.quotes, ["quote_id"])], lambda part: part)
+    assert (same.updated, same.inserted, same.deleted) == (0, 0, 0)
