@@ -6,6 +6,7 @@ from quotewright import session
 from quotewright.bundle import Tables
 from quotewright.operators.clean import clean_tables
 from quotewright.operators.filters import for_ref, for_worker
+from quotewright.sources import testdata
 from helpers import final_quotes
 
 
@@ -47,3 +48,14 @@ def test_shared_folder():
     assert session.shared_dir(FakeSession(None, "local[2]"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(FakeSession(None, "spark://host:7077"))
+
+
+def test_lines_are_joined_once_for_all_tables(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    for name in ("quotes", "submissions", "final_quotes"):
+        testdata.clean_table(spark, sf_dir, name)
+        raw = testdata.raw_table(spark, sf_dir, name)
+        plan = raw._jdf.queryExecution().executedPlan().toString()
+        assert "/lines-" in plan and "Join" not in plan and "Exchange" not in plan
+    stored = [label for app, folder, label in testdata._built if app == spark.sparkContext.applicationId and folder == sf_dir]
+    assert stored.count("lines") == 1 and not [label for label in stored if label.startswith("raw-")]
