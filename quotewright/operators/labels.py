@@ -7,7 +7,7 @@ disambiguator d, ``base (#2)``, ``base (#3)`` and so on. Labels are compared as
 No group of rows is walked through. Rows claim a candidate; of all that ever claimed a label the earliest has it,
 which settles the label as if rows had come one by one: a row that lost a label has lost it to an earlier row, and
 whoever takes the label from that one is earlier still. Each round holds only the rows that lost a label in the
-round before. Rows that run out of disambiguators are numbered together, by their place among such rows of their
+round before, with what they need for their next claims. Rows that run out of disambiguators are numbered together, by their place among such rows of their
 base; a number whose label belongs to an earlier row of another base is left out.
 """
 
@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from ..functions import clean_text, label
 from ..session import materialize
-from .joins import keep_keys, lookup
-from .numbering import with_group_position, with_position
+from .joins import fresh_keys, keep_keys, lookup, pair
+from .numbering import with_group_position
 
 _LABEL = ["_scope", "label"]
 _GROUP = ["_scope", "_base"]
 _CLAIM = [*_LABEL, "_pos", "_at", "_numbered"]
+_NEXT = ["_cut", "_more"]  # for a row's next claim: how much of its label is the base, and the disambiguators left
 
 
 def unique_labels(
@@ -35,31 +36,36 @@ def unique_labels(
 
     Rows equal in ``order`` come in some order. Blank disambiguators are skipped; a blank base reads ``N/A``.
     """
-    clean = F.col("_base")
-    longer = [F.nullif(clean_text(F.col(d)), F.lit("")) for d in disambiguators]
-    candidates = F.array(clean, *[F.when(d.isNotNull(), F.concat_ws(" | ", clean, d)) for d in longer])
-    rows = df.withColumn("_base", label(*[F.col(c) for c in base])).withColumns({
-        "_scope": F.struct(*[F.col(c) for c in scope or []], F.lit(0).cast("byte").alias("_all")),
-        "_tiers": F.array_distinct(F.filter(candidates, lambda c: c.isNotNull()))})
-    rows = with_position(rows, order, "_pos")
-
-    claims = rows.select("_scope", F.col("_base").alias("label"), "_pos", F.lit(0).alias("_at"), F.lit(False).alias("_numbered"))
+    clean = [F.nullif(clean_text(F.col(d)), F.lit("")) for d in disambiguators]
+    none = F.array().cast("array<string>")
+    # stored once, unsorted: the place in the files only tells rows apart that are equal in ``order``
+    stored = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows-to-label")
+    rows = stored.select(
+        *df.columns, label(*[F.col(c) for c in base]).alias("_base"),
+        F.struct(*[F.col(c) for c in scope or []], F.lit(0).cast("byte").alias("_all")).alias("_scope"),
+        (F.array_distinct(F.array_compact(F.array(*clean))) if clean else none).alias("_more"),
+        F.struct(*order, "_row").alias("_pos"))
+
+    claims = rows.select("_scope", F.col("_base").alias("label"), "_pos", F.lit(0).alias("_at"), F.lit(False).alias("_numbered"),
+        F.lit(0).alias("_cut"), "_more")
     log, later, rest, numbers = [], [], [], None
     while True:
         # named candidates, until no row loses one
         while True:
-            lost = materialize(_lost(claims, log), "lost-labels")
-            log.append(claims)
+            lost = _lost(claims, log, rows)
+            log.append(claims.select(*_CLAIM))
             if lost.isEmpty():
                 break
-            moved = lookup(lost.select("_pos", "_at").withColumn("_at", F.col("_at") + 1), _rows_of(rows, lost), ["_pos"])
-            moved = materialize(moved, "moved-labels")
-            more = F.col("_at") < F.size("_tiers")
+            # the first claim is the base itself
+            moved = lost.withColumn("_cut", F.when(F.col("_at") == 0, F.length("label")).otherwise(F.col("_cut")))
+            moved = moved.withColumn("_base", F.left("label", F.col("_cut")))
+            more = F.size("_more") > 0
             claims = moved.where(more).select(
-                "_scope", F.element_at("_tiers", F.col("_at") + 1).alias("label"), "_pos", "_at", F.lit(False).alias("_numbered"))
+                "_scope", F.concat_ws(" | ", "_base", F.get("_more", F.lit(0))).alias("label"), "_pos", (F.col("_at") + 1).alias("_at"),
+                F.lit(False).alias("_numbered"), "_cut", F.slice("_more", F.lit(2), F.size("_more")).alias("_more"))
             rest.append(moved.where(~more).select(*_GROUP, "_pos"))
             later.append(claims)
-        if not rest:
+        if not rest or _all(rest).isEmpty():
             break
         numbers, taken = _numbered(_all(rest), log)
         if taken is None:
@@ -68,12 +74,14 @@ def unique_labels(
         claims = materialize(taken.join(_all(log).where("_numbered").select(*_LABEL, "_pos"), [*_LABEL, "_pos"], "left_anti"), "numbered-labels")
         if claims.isEmpty():
             break
+        claims = claims.withColumns({"_cut": F.lit(0), "_more": none})
 
     if numbers is not None:
         later.append(numbers.select("_pos", F.lit(1 << 30).alias("_at"), "label"))
+    rows = rows.withColumn("_row", F.col("_pos._row"))
     if later:
-        last = _all([part.select("_pos", "_at", "label") for part in later]).groupBy("_pos").agg(F.max_by("label", "_at").alias("_last"))
-        rows = lookup(rows, last, ["_pos"])
+        last = _all([part.select(F.col("_pos._row").alias("_row"), "_at", "label") for part in later])
+        rows = pair(rows, last.groupBy("_row").agg(F.max_by("label", "_at").alias("_last")), ["_row"])
     else:
         rows = rows.withColumn("_last", F.lit(None).cast("string"))
     return rows.select(*df.columns, F.coalesce("_last", "_base").alias("label"))
@@ -83,24 +91,40 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _rows_of(rows: DataFrame, some: DataFrame) -> DataFrame:
-    return keep_keys(rows.select("_pos", "_scope", "_base", "_tiers"), some, ["_pos"])
-
-
-def _lost(claims: DataFrame, log: list[DataFrame]) -> DataFrame:
-    """Claims that lose their label: new ones that come too late, and the one that has it if a new one is earlier.
+def _lost(claims: DataFrame, log: list[DataFrame], rows: DataFrame) -> DataFrame:
+    """Claims that lose their label: new ones that come too late, and the one that has it if a new one is earlier; with
+    what their rows can claim next.
 
     Numbered rows are not listed, as all numbers of their base are given out anew.
     """
-    now = claims.groupBy(*_LABEL).agg(F.min("_pos").alias("_now"))
-    if not log:
-        return lookup(claims, now, _LABEL).where(F.col("_pos") > F.col("_now")).select(*_CLAIM)
-    before = keep_keys(_all(log), claims, _LABEL)
+    now = claims.groupBy(*_LABEL).agg(F.min("_pos").alias("_now"), F.count(F.lit(1)).alias("_claims"))
+    several, named = F.col("_claims") > 1, ~F.col("_numbered")
+    before = _before(claims, log) if log else None
+    if before is None:
+        late = claims.join(fresh_keys(now.where(several), _LABEL), _LABEL).where(named & (F.col("_pos") > F.col("_now")))
+        return materialize(late.select(*_CLAIM, *_NEXT), "lost-labels")
     had = before.groupBy(*_LABEL).agg(F.min("_pos").alias("_had"))
-    state = lookup(now, had, _LABEL)
-    late = lookup(claims, state, _LABEL).where(F.col("_pos") > F.least("_now", "_had"))
-    overtaken = before.join(state.where(F.col("_now") < F.col("_had")).select(*_LABEL, F.col("_had").alias("_pos")), [*_LABEL, "_pos"])
-    return late.select(*_CLAIM).unionByName(overtaken.select(*_CLAIM)).where(~F.col("_numbered"))
+    state = materialize(lookup(now, had, _LABEL).where(several | F.col("_had").isNotNull()), "claimed-labels")
+    late = claims.join(fresh_keys(state, _LABEL), _LABEL).where(named & (F.col("_pos") > F.least("_now", "_had"))).select(*_CLAIM, *_NEXT)
+    firsts = state.where(F.col("_now") < F.col("_had")).select(*_LABEL, F.col("_had").alias("_pos"))
+    overtaken = materialize(before.join(firsts, [*_LABEL, "_pos"]).where(named).select(*_CLAIM), "overtaken-labels")
+    if not overtaken.isEmpty():
+        own = keep_keys(rows.select("_pos", F.length("_base").alias("_cut"), "_more"), overtaken, ["_pos"])
+        left = F.slice("_more", F.col("_at") + 1, F.size("_more"))
+        late = late.unionByName(pair(overtaken, own, ["_pos"]).withColumn("_more", left))
+    return materialize(late, "lost-labels")
+
+
+def _before(claims: DataFrame, log: list[DataFrame]) -> DataFrame | None:
+    """Earlier claims on the labels that are claimed now, None if there can be none.
+
+    Equal labels have equally many separators: claims with fewer or more than any new one are not shuffled.
+    """
+    text = F.col("label")
+    bars = F.length(text) - F.length(F.replace(text, F.lit(" | "), F.lit("")))
+    least, most = claims.agg(F.min(bars), F.max(bars)).first()
+    near = _all(log).where(bars.between(least, most))
+    return None if least is None or near.isEmpty() else materialize(keep_keys(near, claims, _LABEL), "earlier-claims")
 
 
 def _numbered(rest: DataFrame, log: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
@@ -112,7 +136,7 @@ def _numbered(rest: DataFrame, log: list[DataFrame]) -> tuple[DataFrame, DataFra
     if not asked.isEmpty():
         asked, taken = _left_out(ranked, asked)
         # a number left out stands before the rows that move on to the next one
-        out = asked.where("_out").select(*_GROUP, (F.col("_n") - 2 - F.col("_before")).alias("_rank"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_pos"))
+        out = asked.where("_out").select(*_GROUP, (F.col("_n") - 2 - F.col("_before")).alias("_rank"), F.lit(0).alias("_kind"), F.lit(None).cast(ranked.schema["_pos"].dataType).alias("_pos"))
         both = ranked.select(*_GROUP, "_rank", F.lit(1).alias("_kind"), "_pos").unionByName(out)
         ranked = with_group_position(both, _GROUP, ["_rank", "_kind"], "_place").where(F.col("_kind") == 1).select(
             *_GROUP, "_pos", F.col("_place").alias("_rank"))

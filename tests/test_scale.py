@@ -1,7 +1,11 @@
 """What the tables and the upsert of offers write and sort, and how many partitions a shuffle starts with."""
 
+import re
+
 from helpers import dicts, quotes, submissions
-from quotewright.plans import mutations
+from pyspark.sql import functions as F
+from quotewright.operators import labels, latest, numbering
+from quotewright.plans import mutations, worker
 from quotewright.session import BYTES_PER_PARTITION, tune
 from quotewright.sources import tables, testdata
 
@@ -52,3 +56,77 @@ def test_only_new_offers_are_placed(spark, monkeypatch):
     assert placed == [3]
     assert {r.supplier: (r.submission_id, r.price, r._seq) for r in got.collect()} == {
         "A": ("SUB0007", "5", 0), "N": ("SUB0008", "5", 2), "B": ("SUB0009", "5", 1), "M": ("SUB0010", "5", 4)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_an_order_are_stored_together(spark, tmp_path):
+    days = "date'1995-01-02'"
+    made = {
+        "customer": "SELECT id c_custkey, concat('C#', id) c_name FROM range(5)",
+        "orders": f"SELECT id o_orderkey, id % 5 o_custkey, 'O' o_orderstatus, {days} o_orderdate FROM range(3000)",
+        "lineitem": f"""SELECT id % 3000 l_orderkey, id % 2900 l_partkey, id % 11 l_suppkey, id div 3000 l_linenumber, 'A' l_returnflag, 'F' l_linestatus,
+            id % 9 l_quantity, 1.5 l_extendedprice, 0.05 l_discount, {days} l_shipdate FROM range(9000)""",
+        "part": "SELECT id p_partkey, concat('part ', id) p_name FROM range(2900)",
+        "supplier": "SELECT id s_suppkey, concat('S', id) s_name, id % 3 s_nationkey FROM range(11)",
+        "nation": "SELECT id n_nationkey, concat('N', id) n_name FROM range(3)",
+    }
+    for name, sql in made.items():
+        spark.sql(sql).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "5000")  # suppliers and nations
+        lines = testdata._lines(spark, str(tmp_path)).select("l_orderkey", "l_partkey", "p_name", "c_name", "_metadata.file_path").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(lines) == 9000 and len({r.file_path for r in lines}) > 1
+    files = {}
+    for r in lines:
+        files.setdefault(r.l_orderkey, set()).add(r.file_path)
+        assert r.p_name == f"part {r.l_partkey}" and r.c_name == f"C#{r.l_orderkey % 5}"
+    assert {len(f) for f in files.values()} == {1}
+
+
+def test_rows_are_labelled_without_being_sorted(spark, monkeypatch):
+    def refuse(*args):
+        raise AssertionError("sorted")
+
+    stored = []
+    real = labels.materialize
+
+    def noted(df, name):
+        stored.append((name, df.columns))
+        return real(df, name)
+
+    monkeypatch.setattr(numbering, "materialize", refuse)
+    monkeypatch.setattr(labels, "materialize", noted)
+    rows = spark.createDataFrame([(1, "a", "x", "w"), (2, "a", "y", "w"), (3, "b", "z", "w"), (4, "a", "x", "v")], "n int, b string, d string, s string")
+    got = labels.unique_labels(rows.withColumn("wide", F.lit("wide")), ["b"], ["d"], ["n"], ["s"])
+    assert {r.n: r.label for r in got.collect()} == {1: "a", 2: "a | y", 3: "b", 4: "a"}
+    # rows are written once, then only claims that were lost; no earlier label has a separator, so none is compared
+    assert [name for name, _ in stored] == ["rows-to-label", "lost-labels", "lost-labels"]
+    assert not any("wide" in columns for name, columns in stored if name != "rows-to-label")
+
+
+def test_a_label_that_another_base_has(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", "x"), (2, "a | y", "x"), (3, "a", "y"), (4, "a | x", "q"), (5, "a", "x"), (6, "a | x", "q"), (7, "a | x", None)], "n int, b string, d string")
+    got = labels.unique_labels(rows, ["b"], ["d"], ["n"])
+    assert {r.n: r.label for r in got.collect()} == {
+        1: "a", 2: "a | y", 3: "a (#2)", 4: "a | x", 5: "a (#3)", 6: "a | x | q", 7: "a | x (#2)"}
+
+
+def test_only_what_is_shown_is_shuffled(spark):
+    key = {"quote_id": "q", "part_no": "p"}
+    lines = quotes(spark, [{**key, "date": "2024-01-01", "status": "UPLOADED", "customer_ref_no": "r1"}, {**key, "date": "2024-02-01", "customer_ref_no": "r2"}])
+    kept = re.findall(r"max_by\(struct\(([^)]*)\)", _plan(latest.latest_quote_meta(lines)))
+    assert len(kept) == 1 and "date" not in kept[0] and "_seq" not in kept[0]
+    offers = submissions(spark, [
+        {**key, "supplier": "A", "worker_id": "1", "price": p, "edit_required": "NO", "no_quote": "NO", "remarks": "long"} for p in ("5", "6")])
+    mine = worker.my_submissions(offers, lines)
+    assert "remarks" not in "".join(re.findall(r"min_by\(struct\(([^)]*)\)", _plan(mine)))
+    assert [(r.price, r.customer_ref_no) for r in mine.collect()] == [("5", "r2")]
