@@ -2,10 +2,13 @@
 
 import re
 
+import pytest
 from helpers import dicts, quotes, submissions
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from quotewright.catalog import QUERIES
 from quotewright.operators import labels, latest, numbering
-from quotewright.plans import mutations, worker
+from quotewright.plans import mutations, pricing, worker
 from quotewright.session import BYTES_PER_PARTITION, tune
 from quotewright.sources import tables, testdata
 
@@ -130,3 +133,74 @@ def test_only_what_is_shown_is_shuffled(spark):
     mine = worker.my_submissions(offers, lines)
     assert "remarks" not in "".join(re.findall(r"min_by\(struct\(([^)]*)\)", _plan(mine)))
     assert [(r.price, r.customer_ref_no) for r in mine.collect()] == [("5", "r2")]
+
+
+def _made(spark, folder):
+    day = "date'1995-01-02'"
+    made = {
+        "customer": "SELECT id c_custkey, concat('C#', id) c_name FROM range(5)",
+        "orders": f"SELECT id o_orderkey, id % 6 o_custkey, 'O' o_orderstatus, {day} o_orderdate FROM range(40)",
+        "lineitem": f"""SELECT id % 50 l_orderkey, id % 30 l_partkey, id % 11 l_suppkey, cast(id % 8 as int) l_linenumber, 'A' l_returnflag, 'F' l_linestatus,
+            id % 9 l_quantity, 1.5 l_extendedprice, 0.05 l_discount, {day} l_shipdate FROM range(600)""",
+        "part": "SELECT id % 25 p_partkey, concat('part ', id) p_name FROM range(27)",
+        "supplier": "SELECT id s_suppkey, concat('S', id) s_name, id % 4 s_nationkey FROM range(10)",
+        "nation": "SELECT id n_nationkey, concat('N', id) n_name FROM range(3)",
+    }
+    for name, sql in made.items():
+        spark.sql(sql).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_one_pass_over_offers_stores_no_lines(spark, tmp_path):
+    sf_dir = _made(spark, tmp_path)
+    got = QUERIES["offers_reviewable"](spark, sf_dir)
+    assert not [k for k in testdata._built if k[1] == sf_dir]
+    plan = _plan(got)  # names are not read
+    assert not re.search(r"Project \[[^\n]*(p_name|s_name|c_name)#", plan)
+    stored = testdata.clean_table(spark, sf_dir, "submissions").where("edit_required = 'NO' AND no_quote = 'NO'")
+    kept = ["_seq", "submission_id", "edit_required", "no_quote"]
+    assert stored.count() > 0 and dicts(got, *kept) == dicts(stored, *kept)
+
+
+def test_views_and_narrow_tables_equal_the_stored_ones(spark, tmp_path):
+    sf_dir = _made(spark, tmp_path)
+    names = ("quotes", "submissions", "assignments", "final_quotes")
+    views = {name: dicts(testdata.view_table(spark, sf_dir, name)) for name in names}
+    wanted = ["quote_id", "part_no", "status"]
+    narrow = testdata.narrow_tables(spark, sf_dir, ["o_orderstatus", "c_name"], quotes=wanted)["quotes"]
+    assert narrow.columns == wanted and "/lines-" in narrow.inputFiles()[0]
+    columns = spark.read.parquet(narrow.inputFiles()[0]).columns
+    assert columns == [*testdata.LINE_KEYS, "o_orderstatus", "c_name"]
+    rows = dicts(narrow)
+    with pytest.raises(AnalysisException):
+        testdata.narrow_tables(spark, sf_dir, ["c_name"], quotes=wanted)
+    for name in names:
+        assert views[name] == dicts(testdata.clean_table(spark, sf_dir, name)) and (views[name] or name == "assignments")
+    assert rows == dicts(testdata.clean_table(spark, sf_dir, "quotes"), *wanted)
+
+
+def test_margin_progress_stores_what_it_reads(spark, tmp_path):
+    sf_dir = _made(spark, tmp_path)
+    got = dicts(QUERIES["margin_progress"](spark, sf_dir))
+    labels_ = [k[2] for k in testdata._built if k[1] == sf_dir]
+    assert len(got) == 19 and labels_ == ["lines:c_name,o_orderstatus,s_name"]
+    t = testdata.LazyTables(spark, sf_dir)
+    assert got == dicts(pricing.margin_progress(t.quotes, t.submissions))
+
+
+def test_deleted_quotes_are_written_before_they_are_looked_up(spark, tmp_path):
+    sf_dir = _made(spark, tmp_path)
+    got = QUERIES["purge_submissions"](spark, sf_dir)
+    assert not [k for k in testdata._built if k[1] == sf_dir]
+    assert any("/deleted-quotes-" in f for f in got.inputFiles())
+    t = testdata.LazyTables(spark, sf_dir)
+    gone = {r.quote_id for r in t.quotes.where("status = 'DELETED'").collect()}
+    left = [r for r in dicts(t.submissions) if r["quote_id"] not in gone]
+    assert gone and left and dicts(got) == left
+
+
+def test_dates_of_a_few_rows_first(spark):
+    whole = quotes(spark, [{"date": "bad", "due_date": "x"}, {"date": "2024-1-2", "due_date": "1/2"}])
+    few = quotes(spark, [{"date": "bad", "due_date": "x"}])
+    assert dicts(tables.normalize_dates(whole, few=few), "date", "due_date") == dicts(tables.normalize_dates(whole), "date", "due_date")
+    assert dicts(tables.normalize_dates(whole, few=whole), "date") == [{"date": ""}, {"date": "2024-01-02"}]
