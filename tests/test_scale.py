@@ -6,9 +6,10 @@ import pytest
 from helpers import dicts, quotes, submissions
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from quotewright import catalog
 from quotewright.catalog import QUERIES
-from quotewright.operators import labels, latest, numbering
-from quotewright.plans import mutations, pricing, worker
+from quotewright.operators import joins, labels, latest, numbering
+from quotewright.plans import mutations, pricing, progress, worker
 from quotewright.session import BYTES_PER_PARTITION, tune
 from quotewright.sources import tables, testdata
 
@@ -204,3 +205,101 @@ def test_dates_of_a_few_rows_first(spark):
     few = quotes(spark, [{"date": "bad", "due_date": "x"}])
     assert dicts(tables.normalize_dates(whole, few=few), "date", "due_date") == dicts(tables.normalize_dates(whole), "date", "due_date")
     assert dicts(tables.normalize_dates(whole, few=whole), "date") == [{"date": ""}, {"date": "2024-01-02"}]
+
+
+def _run(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_few_suppliers_are_joined_last_without_a_shuffle(spark, tmp_path, monkeypatch, no_broadcast):
+    sf_dir = _made(spark, tmp_path)
+
+    def joined():
+        return testdata._joined(spark, sf_dir, testdata._orders(spark, sf_dir))
+
+    few = joined()
+    assert "BroadcastHashJoin [l_suppkey" in _run(few)
+    monkeypatch.setattr(testdata, "FEW_SUPPLIERS", 0)
+    many = joined()
+    assert "BroadcastHashJoin" not in _run(many)
+    assert few.count() > 0 and dicts(few) == dicts(many)
+
+
+def test_worker_queue_stores_what_it_reads(spark, tmp_path):
+    sf_dir = _made(spark, tmp_path)
+    got = dicts(QUERIES["worker_queue"](spark, sf_dir))
+    assert sorted(k[2] for k in testdata._built if k[1] == sf_dir) == ["lines:c_name,l_quantity,o_orderstatus,p_name", "orders"]
+    t = testdata.LazyTables(spark, sf_dir)
+    assert got == dicts(worker.worker_queue(t.assignments, t.quotes, t.submissions))
+
+
+@pytest.mark.parametrize("name", ["offer_details", "my_submissions", "client_quote", "margin_grid"])
+def test_views_store_only_what_they_read(spark, tmp_path, name):
+    sf_dir = _made(spark, tmp_path)
+    got = QUERIES[name](spark, sf_dir)
+    assert "lines" not in [k[2] for k in testdata._built if k[1] == sf_dir]
+    rows = dicts(got)
+    testdata.clean_table(spark, sf_dir, "quotes")  # stores all columns, which the query then reads
+    assert rows == dicts(QUERIES[name](spark, sf_dir)) and (rows or name == "client_quote")
+
+
+def test_rows_out_of_reach_of_a_change_are_not_joined(spark, no_broadcast):
+    key = {"quote_id": "q", "part_no": "p"}
+    base = submissions(spark, [
+        {**key, "supplier": "A", "submission_id": "SUB0001", "worker_id": "1"}, {**key, "supplier": "", "submission_id": "SUB0002", "worker_id": "1"},
+        {**key, "supplier": None, "submission_id": "SUB0003", "worker_id": "1"}])
+    ids = {(None, "SUB0003")}
+    marks = spark.createDataFrame([("q", "p", "1", "none", 0), ("q", "p", "2", "none", 1)], "quote_id string, part_no string, worker_id string, remark string, _seq bigint")
+    marked = mutations.mark_no_quote(base, marks, "2024-01-01")
+    assert {(r.supplier, r.submission_id) for r in marked.collect()} == ids | {("A", "SUB0001"), ("", "SUB0004"), ("", "SUB0005")}
+    values = mutations.offer_values(submissions(spark, [{**key, "supplier": s, "price": "5"} for s in ("A", "N")]), "2024-01-01")
+    offered = mutations.upsert_offers(base, values)
+    assert {(r.supplier, r.submission_id) for r in offered.collect()} == ids | {("A", "SUB0001"), ("", "SUB0002"), ("N", "SUB0004")}
+    for after in (marked, offered):  # the two kinds of rows on file are apart, and one of them is no side of a join
+        plan = after._jdf.queryExecution().optimizedPlan()
+        assert plan.nodeName() == "Union" and plan.children().size() == 3
+        assert any("Join" not in plan.children().apply(n).toString() for n in range(2))
+
+
+def test_left_side_of_a_split_join_is_shuffled_once(spark, tmp_path, no_broadcast):
+    spark.range(60).selectExpr("cast(id as string) a", "id % 7 c", "concat('x', id) e").write.parquet(f"{tmp_path}/l")
+    left = spark.read.parquet(f"{tmp_path}/l")
+    right = spark.range(30).selectExpr("cast(id as string) a", "id d")
+    got = joins.expand(left, right, ["a"])
+    plan = _run(got)
+    assert got.count() == 60 and got.where("d IS NULL").count() == 30
+    assert "ReusedExchange" in plan
+
+
+def test_counts_are_shuffled_once(spark):
+    asked = quotes(spark, [{"quote_id": "q", "part_no": p, "status": s} for p, s in (("a", "DELETED"), ("a", "UPLOADED"), (None, "UPLOADED"))])
+    answers = submissions(spark, [{"quote_id": "q", "part_no": "a"}, {"quote_id": None, "part_no": "a"}])
+    counts = progress.part_counts(asked, answers)
+    assert {tuple(r) for r in counts.collect()} == {("q", "a", 2, 1, 1), ("q", None, 1, 0, 0)}
+    assert _plan(counts).count("Aggregate") == 1
+    both = progress.counts_of("quotes", asked, -1).unionByName(progress.counts_of("quotes", asked))
+    assert progress.summed(both).isEmpty()
+
+
+def test_requests_of_a_desk_are_made_of_its_first_version(spark, tmp_path, monkeypatch):
+    sf_dir, seen = _made(spark, tmp_path), []
+    real = catalog._offer_requests
+
+    def noted(t):
+        seen.append(t)
+        return real(t)
+
+    monkeypatch.setattr(catalog, "_offer_requests", noted)
+    QUERIES["versioned_submissions"](spark, sf_dir).collect()
+    assert all("/desk-" in f for t in seen for f in t.quotes.inputFiles()) and len(seen) == 1
+    t = testdata.LazyTables(spark, sf_dir)
+    assert dicts(seen[0].quotes) == dicts(t.quotes) and dicts(seen[0].submissions) == dicts(t.submissions)
